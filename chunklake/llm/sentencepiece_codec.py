@@ -11,6 +11,7 @@ equals that of the model's own greedy merging.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Code points that one suffix array indexes, texts that are worked on at once, segments that a worker remembers.
-INDEX_CHARS, BATCH_CHARS, REMEMBERED = 400_000, 4_000_000, 600_000
-#: Longer segments are not remembered.
-LONGEST_REMEMBERED = 64
+INDEX_CHARS, BATCH_CHARS, REMEMBERED = 400_000, 4_000_000, 500_000
+#: Longer segments are not remembered; those beyond the second are relaxed one edge after the other.
+LONGEST_REMEMBERED, LONGEST_TOGETHER = 64, 200
+#: Places of the table that keeps decisions on neighbouring pieces.
+DECISIONS = 1 << 20
 
 
 @dataclass
@@ -87,34 +90,75 @@ class Codec:
         upper = keys.copy()
         upper[np.arange(len(names)), self.piece_len] = 0x110001  # above every code
         self.lower_keys, self.upper_keys = (k.view(f"<U{self.width}").ravel() for k in (keys, upper))
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.steps_of: dict[int, list[tuple[float, str, str]]] = {}
+        self.keys, self.values = np.full(DECISIONS, -1, np.int64), np.zeros(DECISIONS, bool)
+        self.sizes = np.array([len(s) for s in p.pieces])
         self.seen: dict[str, bytes] = {}
         self.out = [b"" if k == "c" else bytes([int(s[3:5], 16)]) if k == "b" else " ⁇ ".encode() if k == "u" else s.replace(SPACE, " ").encode() for s, k in zip(p.pieces, p.kinds, strict=True)]
 
-    def merged(self, text: str) -> list[str]:
-        """The model's merging: again and again the pair with the best score, the leftmost of equals."""
+    def merged(self, text: str) -> list[tuple[float, str, str]]:
+        """The model's merging: again and again the pair with the best score, the leftmost of equals.
+
+        Gives the score of each merge (the first entry stands for none) and the first and last part after it.
+        """
         parts, score, id_of = list(text), self.p.scores, self.id_of
+        steps = [(0.0, parts[0], parts[-1])]
         while len(parts) > 1:
             found = [(-score[i], k) for k in range(len(parts) - 1) if (i := id_of.get(parts[k] + parts[k + 1])) is not None]
             if not found:
                 break
-            k = min(found)[1]
+            worst, k = min(found)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+            steps.append((-worst, parts[0], parts[-1]))
+        return steps if len(parts) == 1 else []
 
-    def fit(self, a: int, b: int) -> bool:
-        """Whether piece b may follow piece a (-1: the segment's start; under -1: an unknown character)."""
-        key = (a, b)
-        if (known := self.fits.get(key)) is None:
-            pieces = self.p.pieces
-            known = True if b < -1 else self.merged(pieces[b]) == [pieces[b]] if a < 0 else self.merged(pieces[a] + pieces[b]) == [pieces[a], pieces[b]]
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            self.fits[key] = known
+    def steps(self, piece: int) -> list[tuple[float, str, str]]:
+        """The merges by which a piece comes about; none if merging its text gives others."""
+        if (known := self.steps_of.get(piece)) is None:
+            known = self.steps_of[piece] = self.merged(self.p.pieces[piece])
         return known
 
+    def fit(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a (-1: the segment's start; under -1: an unknown character).
+
+        Both pieces' merges go on side by side in the order of their scores; the pieces stay apart
+        unless joining the parts that meet has the best score at some time (of equals the leftmost).
+        """
+        if b < -1:
+            return True
+        right = self.steps(b)
+        if a < 0 or not right:
+            return bool(right)
+        left, score, id_of = self.steps(a), self.p.scores, self.id_of
+        i = j = 0
+        while True:
+            own = left[i + 1][0] if i + 1 < len(left) else -math.inf
+            other = right[j + 1][0] if j + 1 < len(right) else -math.inf
+            joint = id_of.get(left[i][2] + right[j][1])
+            if joint is not None and score[joint] > own and score[joint] >= other:
+                return False
+            if own == other == -math.inf:
+                return True
+            if own >= other:
+                i += 1
+            else:
+                j += 1
+
+    def fit_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`fit` of many pairs; what is known is looked up in a table that new pairs overwrite."""
+        key = (a.astype(np.int64) + 2) * (len(self.p.pieces) + 1) + b
+        place = (key * 0x9E3779B1 >> 7) & DECISIONS - 1
+        out, unknown = self.values[place], np.flatnonzero(self.keys[place] != key)
+        if len(unknown):
+            _, first, which = np.unique(key[unknown], return_index=True, return_inverse=True)
+            new = unknown[first]
+            found = np.fromiter(map(self.fit, a[new].tolist(), b[new].tolist()), bool, len(new))
+            out[unknown] = found[which]
+            self.keys[place[new]], self.values[place[new]] = key[new], found
+        return out
+
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, end and piece of every occurrence in ``codes`` (code points + 1; 0 between segments), by end, longest first."""
+        """Begin, length and piece of every occurrence in ``codes`` (code points + 1; 0 between segments)."""
         n = len(codes)
         padded = np.concatenate((codes, np.zeros(self.width, np.uint32)))
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[:n]).view(f"<U{self.width}").ravel()
@@ -125,9 +169,7 @@ class Codec:
         hit = np.flatnonzero(count)
         low, count = low[hit], count[hit]
         at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        begin, end = order[at], order[at] + np.repeat(self.piece_len[hit], count)
-        by_end = np.lexsort((begin, end))
-        return begin[by_end], end[by_end], np.repeat(self.piece_ids[hit], count)[by_end]
+        return order[at], np.repeat(self.piece_len[hit], count), np.repeat(self.piece_ids[hit], count)
 
     def bare(self, char: str) -> bytes:
         """The ids (int32) of a character that is no piece."""
@@ -135,58 +177,83 @@ class Codec:
         return np.array(ids, np.int32).tobytes()
 
     def relax(self, segments: list[str]) -> list[bytes]:
-        """The ids (int32) of each segment."""
-        text = "\0".join(segments) + "\0"
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) + np.uint32(1)
-        stops = np.cumsum([len(s) + 1 for s in segments]) - 1
-        codes[stops] = 0
-        last = [None] * (len(codes) + 1)  # the piece that ends at a place, by which its begin is known too
-        starts = {0, *(stops[:-1] + 1).tolist()}
-        for s in starts:
-            last[s] = -1
-        size = self.p.pieces
-        fit, fits = self.fit, self.fits
-        values = codes.tolist()
-        for at in range(0, len(codes), INDEX_CHARS):
-            part = codes[at : at + INDEX_CHARS + self.longest]
-            begin, end, piece = self.edges(part)
-            own = begin < INDEX_CHARS
-            rest = iter(zip((begin[own] + at).tolist(), (end[own] + at).tolist(), piece[own].tolist(), strict=True))
-            # Places without a piece of their own, such as unknown characters, are edges too.
-            known = np.zeros(len(part) + 1, bool)
-            known[begin[own & (end - begin == 1)]] = True
-            bare = [i + at for i in np.flatnonzero(~known[: min(INDEX_CHARS, len(part))]).tolist() if values[i + at]]
-            if bare:
-                both = sorted([*rest, *((i, i + 1, -1 - values[i]) for i in bare)], key=lambda x: (x[1], x[0]))
-                rest = iter(both)
-            later = self._later if at else []
-            self._later = []
-            limit = at + INDEX_CHARS if at + INDEX_CHARS < len(codes) else None
-            for b, e, p in (sorted([*later, *rest], key=lambda x: (x[1], x[0])) if later else rest):
-                if limit is not None and e > limit:
-                    self._later.append((b, e, p))  # edges of the next part may end before
-                    continue
-                if last[e] is None and (a := last[b]) is not None:
-                    ok = fits.get((a, p))
-                    if ok if ok is not None else fit(a, p):
-                        last[e] = p
-        out, begin, missing = [], 0, {}
-        for stop in stops.tolist():
-            ids, at = [], stop
-            while at > begin:
+        """The ids (int32) of segments of at most LONGEST_TOGETHER characters, all of which are pieces.
+
+        The edges are sorted by where they end in their segment, and all segments go forward together.
+        """
+        out: list[bytes] = []
+        for run in _runs([len(s) + 1 for s in segments], INDEX_CHARS):
+            part = segments[run]
+            size = np.array([len(s) for s in part])
+            codes = np.frombuffer(("\0".join(part) + "\0").encode("utf-32-le"), np.uint32) + np.uint32(1)
+            stops = np.cumsum(size + 1) - 1
+            codes[stops] = 0
+            starts = stops - size
+            offset = np.arange(len(codes)) - np.repeat(starts, size + 1)
+            begin, length, piece = self.edges(codes)
+            stop_at = (offset[begin] + length).astype(np.int16)
+            order = np.argsort(stop_at, kind="stable")
+            begin, length, piece = begin[order], length[order], piece[order]
+            bounds = np.searchsorted(stop_at[order], np.arange(1, size.max() + 2))
+            last = np.full(len(codes), -2, np.int32)  # the piece that ends at a place; -2: no way leads there
+            last[starts] = -1
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                b, p = begin[low:high], piece[low:high]
+                a = last[b]
+                way = a != -2
+                b, p, n = b[way], p[way], length[low:high][way]
+                ok = self.fit_all(a[way], p)
+                last[b[ok] + n[ok]] = p[ok]
+            at, own, found = stops.copy(), np.arange(len(part)), []
+            while len(own):
                 p = last[at]
-                if p >= 0:
-                    ids.append(p)
-                    at -= len(size[p])
-                else:
-                    if p not in missing:
-                        missing[p] = np.frombuffer(self.bare(chr(-2 - p)), np.int32).tolist()[::-1]
-                    ids += missing[p]
-                    at -= 1
-            out.append(np.array(ids[::-1], np.int32).tobytes())
-            begin = stop + 1
+                found.append((own, p))
+                at = at - self.sizes[p]
+                more = at > starts[own]
+                at, own = at[more], own[more]
+            owner = np.concatenate([o for o, _ in found][::-1])
+            ids = np.concatenate([p for _, p in found][::-1])[np.argsort(owner, kind="stable")].astype(np.int32).tobytes()
+            cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(part))) * 4)).tolist()
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def relax_long(self, segment: str) -> bytes:
+        """The ids (int32) of one segment of any length, its edges taken in order, an index's share at a time."""
+        codes = np.frombuffer(segment.encode("utf-32-le"), np.uint32) + np.uint32(1)
+        n = len(codes)
+        last: list[int | None] = [None] * (n + 1)
+        last[0] = -1
+        known: dict[tuple[int, int], bool] = {}
+        later: list[tuple[int, int, int]] = []
+        for at in range(0, n, INDEX_CHARS):
+            part = codes[at : at + INDEX_CHARS + self.longest]
+            begin, length, piece = self.edges(part)
+            single = np.zeros(len(part), bool)
+            single[begin[length == 1]] = True
+            bare = np.flatnonzero(~single[:INDEX_CHARS])  # characters that are no piece
+            begin, length = np.concatenate((begin, bare)), np.concatenate((length, np.ones(len(bare), np.int64)))
+            piece = np.concatenate((piece, -1 - part[bare].astype(np.int64)))
+            order = np.lexsort((begin, begin + length))
+            order = order[begin[order] < INDEX_CHARS]
+            here = zip((begin[order] + at).tolist(), (begin[order] + length[order] + at).tolist(), piece[order].tolist(), strict=True)
+            rest, later, limit = sorted([*later, *here], key=lambda x: x[1]) if later else here, [], at + INDEX_CHARS
+            for b, e, p in rest:
+                if e > limit:  # edges of the next share may end before
+                    later.append((b, e, p))
+                elif last[e] is None and (a := last[b]) is not None:
+                    if (ok := known.get((a, p))) is None:
+                        ok = known[a, p] = self.fit(a, p)
+                        if len(known) > DECISIONS:
+                            known.clear()
+                    if ok:
+                        last[e] = p
+        out, at = [], n
+        while at:
+            p = last[at]
+            out.append(np.array([p], np.int32).tobytes() if p >= 0 else self.bare(chr(-2 - p)))
+            at -= len(self.p.pieces[p]) if p >= 0 else 1
+        return b"".join(reversed(out))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids (int32) of each text; null and empty texts have none."""
         cut = [self.segments((SPACE if self.p.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -194,8 +261,10 @@ class Codec:
             self.seen.clear()
         new = set().union(*cut) - self.seen.keys()
         made = {s: self.bare(s) for s in new if len(s) == 1 and s not in self.id_of}  # no piece to look for
-        rest = list(new - made.keys())
-        made.update(zip(rest, self.relax(rest), strict=True) if rest else ())
+        rest = sorted(new - made.keys(), key=len)
+        short = [s for s in rest if len(s) <= LONGEST_TOGETHER] if self.cuts else []
+        made.update(zip(short, self.relax(short), strict=True))
+        made.update((s, self.relax_long(s)) for s in rest[len(short) :])
         self.seen.update((s, x) for s, x in made.items() if len(s) <= LONGEST_REMEMBERED)
         look = self.seen if all(len(s) <= LONGEST_REMEMBERED for s in made) else self.seen | made
         return [b"".join(map(look.__getitem__, s)) for s in cut]
@@ -216,9 +285,11 @@ def _runs(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """``id, token_ids`` (array of int) for every row: whole texts, equal to the model's own encoding.
 
+    With ``decoded``, a column of that name holds what the ids decode to, made in the same pass.
+
     Null and empty texts have no tokens; repeated rows stay; characters that the model lacks become
     byte pieces, or the unknown piece in a model without these.
     """
@@ -234,9 +305,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 got = codec.encode(rows.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, got)]) // 4
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=[id_col, "token_ids"])
+                out = {id_col: rows.column(0), "token_ids": ids}
+                if decoded:
+                    out[decoded] = pa.array([codec.decode(np.frombuffer(x, np.int32)) for x in got], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, token_ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, token_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(tokens: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
