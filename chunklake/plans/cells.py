@@ -11,12 +11,10 @@ from ..operators import diff, sequence
 from .diffs import LINE_KEY, _L, _lines
 from .tables import table
 
-X, Z = (F.col("l_partkey") - 500).cast("int"), (F.col("l_suppkey") * 7 - 300).cast("int")
-
-
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk positions with negative ones among them."""
-    return table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").select(X.alias("x"), Z.alias("z")).distinct()
+    x, z = (F.col("l_partkey") - 500).cast("int"), (F.col("l_suppkey") * 7 - 300).cast("int")
+    return table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").select(x.alias("x"), z.alias("z")).distinct()
 
 
 _CELLS = "c AS (SELECT DISTINCT (l_partkey - 500)::int AS x, (l_suppkey * 7 - 300)::int AS z FROM lineitem)"
