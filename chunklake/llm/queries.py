@@ -66,7 +66,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with severities under a model fitted on the labels of ``sf_dir``."""
-    graded = _table(docs.sparkSession, sf_dir, "labels").select("doc_id", toxicity.grade_column(F.col("toxic"), F.col("quality")).alias("grade"))
+    graded = _table(docs.sparkSession, sf_dir, "labels").select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade"))
     return toxicity.score(docs, toxicity.train(docs, graded))
 
 
@@ -110,21 +110,14 @@ WITH words AS (
 ), toks AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words
 ), grams AS (
-  SELECT doc_id, pos, w AS w3, lag(w) OVER d AS w2, lag(w, 2) OVER d AS w1 FROM toks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, w AS w2, lag(w) OVER d AS w1 FROM toks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
 ), counted AS (
-  SELECT doc_id, w1, w2, count(*) OVER () AS n, count(*) OVER (PARTITION BY w3) AS f1,
-         CASE WHEN w2 IS NOT NULL THEN count(*) OVER (PARTITION BY w2, w3) END AS f2, CASE WHEN w1 IS NOT NULL THEN count(*) OVER (PARTITION BY w1, w2, w3) END AS f3,
-         pos, w3
-  FROM grams
+  SELECT doc_id, pos, count(*) OVER () AS n, count(*) OVER (PARTITION BY w2) AS f1, CASE WHEN w1 IS NOT NULL THEN count(*) OVER (PARTITION BY w1, w2) END AS f2 FROM grams
 ), contexts AS (
-  SELECT *, lag(f1) OVER d AS c1, lag(f2) OVER d AS c2 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
-), uni AS (
-  SELECT *, log10(f1::double / n) AS s1 FROM contexts
-), bi AS (
-  SELECT *, CASE WHEN f2 IS NULL THEN s1 WHEN f2 >= 2 THEN log10(f2::double / c1) ELSE log10(0.4::double) + s1 END AS s2 FROM uni
-), tri AS (
-  SELECT doc_id, CASE WHEN f3 IS NULL THEN s2 WHEN f3 >= 2 THEN log10(f3::double / c2) ELSE log10(0.4::double) + s2 END AS s3 FROM bi
-), sums AS (SELECT doc_id, count(*) AS n_words, sum(s3) AS total FROM tri GROUP BY doc_id)
+  SELECT *, lag(f1) OVER d AS c1 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), scored AS (
+  SELECT doc_id, CASE WHEN f2 IS NULL THEN log10(f1::double / n) WHEN f2 >= 2 THEN log10(f2::double / c1) ELSE log10(0.4::double) + log10(f1::double / n) END AS s FROM contexts
+), sums AS (SELECT doc_id, count(*) AS n_words, sum(s) AS total FROM scored GROUP BY doc_id)
 SELECT w.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.total, 0.0), 4) AS log10_score, round(s.total / s.n_words, 6) AS mean_log10
 FROM words w LEFT JOIN sums s ON s.doc_id = w.doc_id
 """

@@ -2,7 +2,8 @@
 
 One weight vector serves all ordered grades: ``P(grade >= k) = sigmoid(x . beta - theta_k)`` with
 increasing thresholds. The severity is the expected grade. Features are the distinct words of the
-whole text; those with the strongest association to any grade above 0 enter the model.
+whole text and their beginnings, which inflected and compound forms share; those with the strongest
+association to any grade above 0 enter the model.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,27 +23,42 @@ from .common import materialise
 
 #: At most so many labelled rows are fitted, those with the least hash of their id; features that enter.
 SAMPLE_ROWS, FEATURES = 20_000, 2_048
-#: A feature occurs in so many of them at least; strength of the ridge; severity from which a text is toxic.
-LEAST_ROWS, RIDGE, TOXIC_FROM = 5, 1.0, 0.5
+#: A feature occurs in so many of them at least, its rates differ by so many standard errors; strength of the ridge; severity from which a text is toxic.
+LEAST_ROWS, LEAST_Z, RIDGE, TOXIC_FROM = 5, 6.0, 0.1, 0.5
+#: Lengths of the beginnings of longer words that are features.
+STEMS = (3, 4, 5, 6)
 
 _WORD = re.compile(r"\w+")
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct words, lower-cased."""
-    return set(_WORD.findall((text or "").lower()))
+def features_of(text: str | None) -> set[str]:
+    """Distinct words, lower-cased, and their beginnings, which a ``*`` marks."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(*({f"{w[:k]}*" for w in words if len(w) > k} for k in STEMS))
 
 
-@dataclass(frozen=True)
+@dataclass
 class OrdinalModel:
-    """Weights by word and one threshold for each grade from 1 on."""
+    """Weights by feature and one threshold for each grade from 1 on."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
+    def score(self, text: str | None) -> float:
+        """The sum of the weights of the text's features; beginnings are looked up without marking all."""
+        words = set(_WORD.findall((text or "").lower()))
+        total = sum(map(self.weights.__getitem__, sorted(words & self.weights.keys())))
+        for k, stems in self.stems.items():
+            total += sum(map(stems.__getitem__, sorted({w[:k] for w in words if len(w) > k} & stems.keys())))
+        return total
+
+    @cached_property
+    def stems(self) -> dict[int, dict[str, float]]:
+        return {k: {f[:-1]: w for f, w in self.weights.items() if f[-1] == "*" and len(f) == k + 1} for k in STEMS}
+
     def at_least(self, text: str | None) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
-        score = sum(map(self.weights.__getitem__, words_of(text) & self.weights.keys()))
+        score = self.score(text)
         return [1 / (1 + math.exp(min(50.0, max(-50.0, t - score)))) for t in self.thresholds]
 
 
@@ -81,30 +98,37 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, ridge:
     return p[:features], np.cumsum(np.concatenate((p[features : features + 1], gaps)))
 
 
-def _distinct_words(text: str) -> Column:
+def _features(text: str) -> Column:
     @F.pandas_udf("array<string>")
-    def words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
-            yield t.map(lambda x: sorted(words_of(x)))
+            yield t.map(lambda x: sorted(features_of(x)))
 
-    return words(text)
+    return features(text)
 
 
-def grade_column(toxic: Column, quality: Column) -> Column:
-    """0: not toxic; 1: toxic; 2: toxic and of low quality. Null labels count as 0 and as good."""
-    return F.when(F.coalesce(toxic, F.lit(0)) == 0, 0).when(F.coalesce(quality, F.lit(1)) == 0, 2).otherwise(1)
+def severity_grades(rows: list[list[int]], toxic: np.ndarray, marks: set[int]) -> np.ndarray:
+    """Grades from yes-or-no labels: 0; 1 for toxic rows; 2 for toxic rows with more marks than the median one.
+
+    ``marks`` are the features that stand more often in toxic rows.
+    """
+    n = np.array([len(marks.intersection(r)) for r in rows])
+    cut = np.median(n[toxic > 0]) if (toxic > 0).any() else 0
+    return np.where(toxic > 0, 1 + (n > cut), 0)
 
 
 def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> OrdinalModel:
     """Fit on ``graded`` (id, ``grade``) joined to ``docs``; no graded row above 0: a model that finds nothing.
 
-    The driver gets at most ``features`` words and, for at most ``sample_rows`` texts, the chosen
-    words that they contain. Of repeated labels the highest grade holds; labels without a document
-    and documents without a label don't count; a document that stands twice counts twice.
+    Grades of 0 and 1 alone are labels without degrees; toxic rows are then graded by :func:`severity_grades`.
+
+    The driver gets at most ``features`` features and, for at most ``sample_rows`` texts, which of
+    them they have. Of repeated labels the highest grade holds; null grades, labels without a
+    document and documents without a label don't count; a document that stands twice counts twice.
     """
-    labels = graded.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
+    labels = graded.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
     chosen = F.broadcast(labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    rows = docs.join(chosen, F.col(id_col) == F.col("__id")).select("__id", "__grade", _distinct_words(text_col).alias("words"))
+    rows = docs.join(chosen, F.col(id_col) == F.col("__id")).select("__id", "__grade", _features(text_col).alias("words"))
     rows = materialise(rows)
     sizes = dict(rows.groupBy("__grade").count().collect())
     n, high = sum(sizes.values()), sum(v for k, v in sizes.items() if k > 0)
@@ -114,14 +138,17 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     share = F.col("n") / n
     spread = F.sqrt(share * (1 - share) * (1 / high + 1 / (n - high)))
     gap = F.col("hit") / high - (F.col("n") - F.col("hit")) / (n - high)
-    best = counts.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n)).withColumn("z", F.abs(gap / spread)).orderBy(F.desc("z"), "word").limit(features).select("word").collect()
+    best = counts.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n)).withColumn("z", F.abs(gap / spread)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(features).select("word", (gap > 0).alias("mark")).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(best)}
     if not vocabulary:
         return OrdinalModel({}, (math.log((n - high) / high),))
     known = F.broadcast(docs.sparkSession.createDataFrame(list(vocabulary.items()), "word string, at int"))
-    present = rows.select("__id", "__grade", F.explode_outer("words").alias("word")).join(known, "word", "left").groupBy("__id", "__grade").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    sample = present.orderBy("__id").collect()
-    beta, theta = fit_ordinal([list(r["at"]) for r in sample], np.array([r["__grade"] for r in sample]), len(vocabulary))
+    marked = rows.select("__id", "__grade", F.explode_outer("words").alias("word")).join(known, "word", "left").groupBy("__id", "__grade").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    sample = marked.orderBy("__id").collect()
+    present, grades = [list(r["at"]) for r in sample], np.array([r["__grade"] for r in sample])
+    if grades.max() == 1:
+        grades = severity_grades(present, grades, {i for i, r in enumerate(best) if r["mark"]})
+    beta, theta = fit_ordinal(present, grades, len(vocabulary))
     return OrdinalModel({w: float(beta[i]) for w, i in vocabulary.items()}, tuple(map(float, theta)))
 
 
