@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of an n-gram, factor of each step back, occurrences from which an n-gram of two words or more counts as seen.
-ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
+ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 #: Code points of a block of documents and n-grams of a partition of the count tables, on average.
 BLOCK_CHARS, PARTITION_GRAMS = 6_000_000, 2_000_000
 #: Code points of a word with its space, on average, from which the number of partitions is guessed.
@@ -51,8 +51,9 @@ def gram_hashes(texts: list[str | None], order: int) -> tuple[np.ndarray, list[n
     for i, t in enumerate(texts):
         words = tokens(t)
         sizes[i] = len(words)
-        for w in set(words) - known.keys():
-            known[w] = digest(w) or 1
+        for w in words:
+            if w not in known:
+                known[w] = digest(w) or 1
         flat.extend(map(known.__getitem__, words))
     one = np.array(flat, np.uint64)
     place = np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -259,9 +259,9 @@ class Codec:
         cut = [self.segments((SPACE if self.p.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        new = set().union(*cut) - self.seen.keys()
+        new = {s for s in set().union(*cut) if s not in self.seen}
         made = {s: self.bare(s) for s in new if len(s) == 1 and s not in self.id_of}  # no piece to look for
-        rest = sorted(new - made.keys(), key=len)
+        rest = sorted((s for s in new if s not in made), key=len)
         short = [s for s in rest if len(s) <= LONGEST_TOGETHER] if self.cuts else []
         made.update(zip(short, self.relax(short), strict=True))
         made.update((s, self.relax_long(s)) for s in rest[len(short) :])
