@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Parts into which the edges of each node are dealt, so that the star of a large group spreads.
-SALTS = 16
 MOST_ROUNDS = 60
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with ``m``, the least of u and its neighbours; a hot u is salted on both sides."""
+    """``edges`` (u, v) with ``m``, the least of u and its neighbours.
+
+    A merge join, of which Spark splits the edges of a hot u over tasks, since no more than one row
+    meets them from the other side.
+    """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    # The salts multiply the rows, which the estimates for a broadcast do not see; hence the hint.
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(spread.hint("merge"), ["u", "salt"]).drop("salt")
+    return edges.join(least.hint("merge"), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
