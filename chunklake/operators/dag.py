@@ -20,7 +20,7 @@ def ancestors(starts: DataFrame, edges: DataFrame, depth: int | None = None) ->
     ``starts`` has the column ``start``. Nodes without edges are kept and not expanded. With
     ``depth``, nodes further away are left out.
     """
-    edges = edges.select("child", "parent").where("parent is not null").distinct()
+    edges = materialise(edges.select("child", "parent").where("parent is not null").distinct())  # read again in each round
     frontier = materialise(starts.select("start", F.col("start").alias("node")).distinct())
     rounds = [frontier.withColumn("depth", F.lit(0))]
     seen = frontier
@@ -71,15 +71,14 @@ def bisect_step(bad: DataFrame, good: DataFrame, skipped: DataFrame, edges: Data
     range_ = materialise(suspects(bad, good, edges))
     inner = edges.join(range_, edges["child"] == range_["node"], "left_semi").join(range_.withColumnRenamed("node", "parent"), "parent", "left_semi")
     counts = ancestors(range_.select(F.col("node").alias("start")), inner).groupBy("start").agg(F.count("*").alias("n"))
-    total = range_.agg(F.count("*").alias("total"))
     marks = bad.select(F.col("start").alias("node"))
+    total, others = range_.count(), range_.join(marks, "node", "left_anti").count()
+    only = bad.agg(F.min("start")).first()[0]
     free = counts.withColumnRenamed("start", "node").join(marks, "node", "left_anti").join(skipped.select("node"), "node", "left_anti")
-    scored = free.join(F.broadcast(total)).withColumn("score", F.least(F.col("n"), F.col("total") - F.col("n")))  # the total is one row
+    scored = free.withColumn("score", F.least(F.col("n"), F.lit(total) - F.col("n")))
     best = scored.agg(F.count("*").alias("remaining"), F.min_by("node", F.struct(-F.col("score"), "node")).alias("pick"))
-    only = bad.agg(F.min("start").alias("bad"))
-    left = range_.join(marks, "node", "left_anti").agg(F.count("*").alias("others"))
-    state = F.when(F.col("remaining") > 0, "step").when(F.col("others") > 0, "inconclusive").otherwise("done")
-    return best.join(F.broadcast(only)).join(F.broadcast(left)).select(state.alias("state"), F.coalesce("pick", "bad").alias("commit"), "remaining")
+    state = F.when(F.col("remaining") > 0, "step").otherwise("inconclusive" if others else "done")
+    return best.select(state.alias("state"), F.coalesce("pick", F.lit(only)).alias("commit"), "remaining")
 
 
 def shallow_boundary(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

@@ -107,7 +107,7 @@ def verify_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = _objects(spark, sf_dir).join(commits, F.col("l_orderkey") == F.col("node"), "left_semi").select("l_partkey").distinct()
     held = _store(spark, sf_dir).withColumn("held", F.lit(True))
     counts = wanted.join(held, "l_partkey", "left").agg(F.count("*").alias("objects"), F.count(F.when(F.col("held").isNull(), 1)).alias("missing"), F.count(F.when(F.col("held") & (F.col("l_partkey") % 43 == 0), 1)).alias("corrupt"))
-    return counts.join(F.broadcast(commits.agg(F.count("*").alias("commits")))).join(F.broadcast(tips.agg(F.count("*").alias("branches"))))  # single rows
+    return counts.withColumns({"commits": F.lit(commits.count()), "branches": F.lit(tips.count())})
 
 
 SQL_VERIFY_REMOTE = f"{_REACH}, {_STORE} SELECT 3 AS branches, (SELECT count(DISTINCT node) FROM walk) AS commits, count(*) AS objects, count(*) FILTER (l_partkey % 41 = 0 OR l_partkey NOT IN (SELECT l_partkey FROM st)) AS missing, count(*) FILTER (l_partkey % 43 = 0 AND l_partkey IN (SELECT l_partkey FROM st)) AS corrupt FROM r"
