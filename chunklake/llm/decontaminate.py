@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, fresh, materialise
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints of texts with similarity 0.8 differ by 10 bits on average; 17 is 2.5 deviations more.
@@ -121,7 +121,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         laid = here if laid is None else laid.unionByName(here)
     if laid is None:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, start int, hamming int, similarity double")
-    windows = laid.groupBy("doc_id", "len", "start").agg(F.first("window").alias("window"), F.first("k").alias("k"))
+    # Few bytes but much work a row: dealt by number, so that small partitions are not put together.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = laid.repartition(n, "doc_id", "len", "start").groupBy("doc_id", "len", "start").agg(F.first("window").alias("window"), F.first("k").alias("k"))
     windows = materialise(with_fingerprint(windows, "window", F.col("k")).select("doc_id", "len", "start", "sh", "fp"))
     # Equal windows of many documents are looked up once.
     classes = windows.groupBy("len", "fp", "sh").agg(F.count("*").alias("n")).drop("n")
@@ -143,5 +145,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no item was found; rows and columns as in ``docs``."""
-    leaked = find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(id_col) == F.col("__leaked"), "left_anti")
+    id_ = fresh(docs, "leaked")
+    leaked = find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(leaked, F.col(id_col) == F.col(id_), "left_anti")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 WINDOW = 3
 
 
@@ -39,18 +41,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b", "c")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the texts that remain and ``n_removed``, the number of lines taken out.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
+    """``docs`` with the texts that remain and ``count_col``, the number of lines taken out.
 
     All rows and other columns stay. A null text stays null; a text of under three non-blank lines
     has no window and stays; blank lines are neither counted nor removed; lines are compared without
     spaces at their ends; rows with a null id are left alone; rows that share an id share their
     removals. An emptied text is the empty string (or its blank lines).
     """
-    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    both = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    both = both.withColumn("__lines", F.split(F.col(text_col), "\n"))  # a column, since a lambda would split again for each line
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
-    return both.withColumns({text_col: text, "n_removed": F.coalesce(F.size("__gone"), F.lit(0))}).drop("__id", "__gone", "__lines")
+    id_, gone_, lines_ = (fresh(docs, n) for n in ("id", "gone", "lines"))
+    gone = removed_lines(docs, id_col, text_col).select(F.col("id").alias(id_), F.col("gone").alias(gone_))
+    both = docs.join(gone, F.col(id_col) == F.col(id_), "left")
+    both = both.withColumn(lines_, F.split(F.col(text_col), "\n"))  # a column, since a lambda would split again for each line
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), gone_)
+    left = F.array_join(F.transform(kept, lambda i: F.get(lines_, i)), "\n")
+    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(left)
+    return both.withColumns({text_col: text, count_col: F.coalesce(F.size(gone_), F.lit(0))}).drop(id_, gone_, lines_)

@@ -65,9 +65,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with severities under a model fitted on the labels of ``sf_dir``."""
+    return toxicity.score(docs, model_for(docs, sf_dir))
+
+
+def model_for(docs: DataFrame, sf_dir: str) -> toxicity.OrdinalModel:
+    """A model fitted on the labels of ``sf_dir``."""
     graded = _table(docs.sparkSession, sf_dir, "labels").select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade"))
-    return toxicity.score(docs, toxicity.train(docs, graded))
+    return toxicity.train(docs, graded)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, materialise
+from .common import ASCII_LOWER, ASCII_UPPER, fresh, materialise
 from .graph import connected_components
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -174,7 +174,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat an id one stays, that with the least text. Rows with a null id stay.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    id_, rn = fresh(docs, "gone"), fresh(docs, "rn")
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_))
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti").withColumn("__n", first)
-    return left.where((F.col("__n") == 1) | F.col(id_col).isNull()).drop("__n")
+    left = docs.join(gone, F.col(id_col) == F.col(id_), "left_anti").withColumn(rn, first)
+    return left.where((F.col(rn) == 1) | F.col(id_col).isNull()).drop(rn)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: At most so many labelled rows are fitted, those with the least hash of their id; features that enter.
 SAMPLE_ROWS, FEATURES = 20_000, 2_048
@@ -128,7 +128,7 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     """
     labels = graded.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
     chosen = F.broadcast(labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    rows = docs.join(chosen, F.col(id_col) == F.col("__id")).select("__id", "__grade", _features(text_col).alias("words"))
+    rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", "__grade", _features(text_col).alias("words"))
     rows = materialise(rows)
     sizes = dict(rows.groupBy("__grade").count().collect())
     n, high = sum(sizes.values()), sum(v for k, v in sizes.items() if k > 0)
@@ -152,8 +152,8 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel({w: float(beta[i]) for w, i in vocabulary.items()}, tuple(map(float, theta)))
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``severity`` (expected grade) and ``p_toxic`` (grade 1 or more).
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", severity: str = "severity", p_toxic: str = "p_toxic") -> DataFrame:
+    """``docs`` with the columns ``severity`` (expected grade) and ``p_toxic`` (grade 1 or more).
 
     Whole texts are read; a null or empty text has no word and gets the model's base rates.
     """
@@ -163,4 +163,11 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataF
         tails = [model.at_least(t) for t in texts]
         return pd.DataFrame({"severity": [sum(t) for t in tails], "p_toxic": [t[0] for t in tails]})
 
-    return docs.withColumn("__judged", judge(text_col)).withColumns({"severity": F.col("__judged.severity"), "p_toxic": F.col("__judged.p_toxic")}).drop("__judged")
+    made = fresh(docs, "judged")
+    return docs.withColumn(made, judge(text_col)).withColumns({severity: F.col(f"{made}.severity"), p_toxic: F.col(f"{made}.p_toxic")}).drop(made)
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", bar: float = TOXIC_FROM) -> DataFrame:
+    """The rows whose severity is below the bar, with their columns as they are."""
+    severity, p = fresh(docs, "severity"), fresh(docs, "p")
+    return score(docs, model, text_col, severity, p).where(F.col(severity) < bar).select(docs.columns)

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunklake.llm import decontaminate, line_dedup, queries, simhash_dedup, toxicity
-from chunklake.llm.common import shared_folder
+from chunklake.llm.common import fresh, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the bar."""
-    return queries.judged(docs, sf_dir).where(F.col("severity") < toxicity.TOXIC_FROM).select(docs.columns)
+    return toxicity.without_toxic(docs, queries.model_for(docs, sf_dir))
 
 
 def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; a document goes only if nothing but blank lines is left of it."""
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.regexp_replace("text", r"[\x20\n]+", "") == "")
+    removed = fresh(docs, "removed")
+    out = line_dedup.dedup_lines(docs, count_col=removed)
+    emptied = (F.col(removed) > 0) & (F.regexp_replace("text", r"[\x20\n]+", "") == "")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written as Parquet and read again."""
-    import uuid
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

@@ -42,3 +42,22 @@ def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(QUERIES) | {"pipeline"} <= names
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+
+
+def test_stages_keep_other_columns(spark, sf_dir):
+    """Extra columns with names that the operators use come through as they are, nulls included."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    names = ["severity", "p_toxic", "n_removed", "__rn", "__gone", "__id", "__lines", "__judged", "fp", "words", "id"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    docs = docs.unionByName(spark.createDataFrame([(None, "lost", None, None, None), (9_001, None, None, None, None), (9_001, None, None, None, None)], docs.schema))
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce("doc_id", F.lit(-1))) for n in names})
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{-1 if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names), name
+        assert any(r["doc_id"] is None for r in rows), name
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.columns == docs.columns and empty.count() == 0, name
