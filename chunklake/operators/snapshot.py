@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import content_id, rollup
+from ..functions.hashing import content_id, merkle
 
 
 def manifest(rows: DataFrame, path: list[str], pos: Column, body: Column) -> DataFrame:
-    """``path, sig, n``: the hash of each file's ordered ``pos=id;`` entries and their number."""
-    entry = F.concat(pos.cast("string"), F.lit("="), content_id(body), F.lit(";"))
-    return rows.groupBy(*path).agg(rollup(entry, pos).alias("sig"), F.count("*").alias("n"))
+    """``path, sig, n``: the hash of each file's entries, position and content id, and their number."""
+    entries = rows.select(*path, pos.cast("string").alias("k"), content_id(body).alias("s"))
+    return merkle(entries, path, "k", "s")
 
 
 def tree_hash(files: DataFrame, path: str, sig: str = "sig") -> DataFrame:
-    """One row ``tree``: the hash of the files' hashes in path order; its input is a row a file."""
-    return files.agg(rollup(F.concat(F.col(path).cast("string"), F.lit("="), F.col(sig), F.lit(";")), F.col(path)).alias("tree"), F.count("*").alias("n_files"))
+    """One row ``tree, n_files``: the hash of the files' paths and hashes."""
+    named = files.select(F.col(path).cast("string").alias("k"), F.col(sig).alias("s"))
+    return merkle(named, [], "k", "s").select(F.col("sig").alias("tree"), F.col("n").alias("n_files"))
 
 
 def objects(rows: DataFrame, body: str, key: str) -> DataFrame:

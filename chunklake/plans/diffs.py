@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import canonical_row, cents, content_id
+from ..functions.hashing import canonical_row, cents, content_id, merkle_sql
 from ..functions.identity import typed_value
 from ..operators import diff, merge, patch, snapshot
 from .tables import edited, sql_edited, table
@@ -103,9 +103,13 @@ def status_amd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.status(_files(a), _files(new), "o_orderpriority", "sig")
 
 
-_SIG = "sha256(string_agg(o_orderkey::varchar || '=' || sha256(coalesce(o_orderstatus, '~') || '|' || coalesce(price::varchar, '~')) || ';', '' ORDER BY o_orderkey))"
+def _sql_files(table_: str, name: str) -> str:
+    entries = f"{name}0 AS (SELECT o_orderpriority, o_orderkey::varchar AS k, sha256(coalesce(o_orderstatus, '~') || '|' || coalesce(price::varchar, '~')) AS s FROM {table_})"
+    return f"{entries}, {merkle_sql(f'{name}0', ['o_orderpriority'], name)}"
+
+
 SQL_STATUS = f"""WITH {_A}, {_B}, n AS (SELECT o_orderkey, o_orderstatus, price, CASE WHEN o_orderpriority LIKE '5%' THEN '6-NEW' ELSE o_orderpriority END AS o_orderpriority FROM (SELECT * FROM b WHERE o_orderpriority NOT LIKE '1%' UNION ALL SELECT * FROM a WHERE o_orderpriority LIKE '1%')),
-fa AS (SELECT o_orderpriority, {_SIG} AS sig FROM a GROUP BY 1), fb AS (SELECT o_orderpriority, {_SIG} AS sig FROM n GROUP BY 1)
+{_sql_files('a', 'fa')}, {_sql_files('n', 'fb')}
 SELECT coalesce(fa.o_orderpriority, fb.o_orderpriority) AS o_orderpriority, CASE WHEN fa.sig IS NULL THEN 'A' WHEN fb.sig IS NULL THEN 'D' ELSE 'M' END AS code FROM fa FULL JOIN fb ON fa.o_orderpriority = fb.o_orderpriority WHERE fa.sig IS DISTINCT FROM fb.sig"""
 
 
@@ -116,8 +120,7 @@ def manifest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.manifest(rows, ["l_suppkey"], pos, canonical_row([F.col("flag"), F.col("price")]))
 
 
-_POS = "concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
-_MAN = f"m AS (SELECT l_suppkey, sha256(string_agg({_POS} || '=' || sha256(coalesce(flag, '~') || '|' || coalesce(price::varchar, '~')) || ';', '' ORDER BY {_POS})) AS sig, count(*) AS n FROM a GROUP BY l_suppkey)"
+_MAN = f"e AS (SELECT l_suppkey, concat_ws(',', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, sha256(coalesce(flag, '~') || '|' || coalesce(price::varchar, '~')) AS s FROM a), {merkle_sql('e', ['l_suppkey'], 'm')}"
 SQL_MANIFEST = f"WITH {_L}, {_MAN} SELECT * FROM m"
 
 
@@ -125,8 +128,7 @@ def tree_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.tree_hash(manifest_rollup(spark, sf_dir), "l_suppkey")
 
 
-_TREE = "sha256(string_agg(l_suppkey::varchar || '=' || sig || ';', '' ORDER BY l_suppkey))"
-SQL_TREE = f"WITH {_L}, {_MAN} SELECT {_TREE} AS tree, count(*) AS n_files FROM m"
+SQL_TREE = f"WITH {_L}, {_MAN}, f AS (SELECT l_suppkey::varchar AS k, sig AS s FROM m), {merkle_sql('f', [], 't')} SELECT sig AS tree, n AS n_files FROM t"
 
 
 def verify_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +140,8 @@ def verify_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.agg((pick("base") == pick("copy")).alias("copy_verifies"), (pick("base") == pick("edited")).alias("edited_verifies"), pick("base").alias("tree"))
 
 
-SQL_VERIFY = f"""WITH {_A}, {_B}, fa AS (SELECT o_orderpriority, {_SIG} AS sig FROM a GROUP BY 1), fb AS (SELECT o_orderpriority, {_SIG} AS sig FROM b GROUP BY 1),
-ta AS (SELECT sha256(string_agg(o_orderpriority || '=' || sig || ';', '' ORDER BY o_orderpriority)) AS tree FROM fa), tb AS (SELECT sha256(string_agg(o_orderpriority || '=' || sig || ';', '' ORDER BY o_orderpriority)) AS tree FROM fb)
-SELECT true AS copy_verifies, ta.tree = tb.tree AS edited_verifies, ta.tree AS tree FROM ta, tb"""
+SQL_VERIFY = f"""WITH {_A}, {_B}, {_sql_files('a', 'fa')}, {_sql_files('b', 'fb')}, pa AS (SELECT o_orderpriority AS k, sig AS s FROM fa), pb AS (SELECT o_orderpriority AS k, sig AS s FROM fb), {merkle_sql('pa', [], 'ta')}, {merkle_sql('pb', [], 'tb')}
+SELECT true AS copy_verifies, ta.sig = tb.sig AS edited_verifies, ta.sig AS tree FROM ta, tb"""
 
 
 def _ours_theirs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coords
-from .functions.hashing import canonical_row, content_id, rollup
+from .functions.hashing import canonical_row, content_id, merkle
 from .operators import dag, merge
 from .session import materialise
 from .sources import nbt, region, storage
@@ -188,11 +188,10 @@ class Repo:
 
     @staticmethod
     def tree_id(named: DataFrame) -> str:
-        """Hash of the files' hashes; a file's is that of its ``pos=id;`` parts in order."""
-        entry = F.concat("pos", F.lit("="), "id", F.lit(";"))
-        per_file = named.groupBy("kind", "path").agg(rollup(entry, F.col("pos")).alias("sig"))
-        name = F.concat_ws("|", "path", "kind")
-        return per_file.agg(rollup(F.concat(name, F.lit("="), "sig", F.lit(";")), name)).first()[0]
+        """Hash of the files' hashes; a file's is that of its positions and ids, by buckets of the position."""
+        per_file = merkle(named, ["kind", "path"], "pos", "id").select(F.concat_ws("|", "path", "kind").alias("k"), F.col("sig").alias("s"))
+        top = merkle(per_file, [], "k", "s").first()
+        return top["sig"] if top["sig"] else hashlib.sha256(b"").hexdigest()
 
     def _commit(self, tree: str, parents: list[str], message: str, author: str, when: int | None) -> str:
         body = {"tree": tree, "parents": parents, "message": message, "author": author, "time": int(time.time()) if when is None else when}
@@ -302,11 +301,10 @@ class Repo:
         here = entries.select(*KEY, content_id(F.col("body")).alias("id"))
         old = self.tree_of(rev) if self.head() or rev != "HEAD" else here.limit(0)
         sides = old.withColumn("side", F.lit(0)).unionByName(here.withColumn("side", F.lit(1)))
-        entry = F.concat_ws("|", "kind", "pos", "id")
-        sig = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, entry)))
-        per = sides.groupBy("path").agg(F.xxhash64(sig(0)).alias("a"), F.xxhash64(sig(1)).alias("b"), F.count(F.when(F.col("side") == 0, 1)).alias("na"), F.count(F.when(F.col("side") == 1, 1)).alias("nb"))
-        code = F.when(F.col("na") == 0, "A").when(F.col("nb") == 0, "D").when(F.col("a") != F.col("b"), "M")
-        return per.select("path", code.alias("code")).where("code is not null")
+        changed = sides.groupBy(*KEY).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.min("side").alias("s"), F.max("side").alias("t"))
+        marks = changed.groupBy("path").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.max(((F.col("n") != 2) | (F.col("a") != F.col("b"))).cast("int")).alias("changed"))
+        code = F.when(F.col("s") == 1, "A").when(F.col("t") == 0, "D").when(F.col("changed") == 1, "M")
+        return marks.select("path", code.alias("code")).where("code is not null")
 
     def verify(self, rev: str, entries: DataFrame) -> bool:
         """Whether entries have exactly a commit's tree."""
