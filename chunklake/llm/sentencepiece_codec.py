@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Code points that one suffix array indexes, texts that are worked on at once, segments that a worker remembers.
-INDEX_CHARS, BATCH_CHARS, REMEMBERED = 400_000, 4_000_000, 500_000
+INDEX_CHARS, BATCH_CHARS, REMEMBERED = 200_000, 2_000_000, 400_000
 #: Longer segments are not remembered; those beyond the second are relaxed one edge after the other.
 LONGEST_REMEMBERED, LONGEST_TOGETHER = 64, 200
 #: Places of the table that keeps decisions on neighbouring pieces.

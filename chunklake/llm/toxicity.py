@@ -16,6 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from .common import fresh, materialise
 SAMPLE_ROWS, FEATURES = 20_000, 2_048
 #: A feature occurs in so many of them at least, its rates differ by so many standard errors; strength of the ridge; severity from which a text is toxic.
 LEAST_ROWS, LEAST_Z, RIDGE, TOXIC_FROM = 5, 6.0, 0.1, 0.5
+#: Texts whose features are in memory at once.
+FEATURE_ROWS = 100
 #: Lengths of the beginnings of longer words that are features.
 STEMS = (3, 4, 5, 6)
 
@@ -98,13 +101,13 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, ridge:
     return p[:features], np.cumsum(np.concatenate((p[features : features + 1], gaps)))
 
 
-def _features(text: str) -> Column:
-    @F.pandas_udf("array<string>")
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield t.map(lambda x: sorted(features_of(x)))
-
-    return features(text)
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Third column, a text, to its features; a few rows at a time, as a text has hundreds."""
+    for b in batches:
+        for k in range(0, b.num_rows, FEATURE_ROWS):
+            part = b.slice(k, FEATURE_ROWS)
+            found = pa.array([sorted(features_of(t)) for t in part.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["__id", "__grade", "words"])
 
 
 def severity_grades(rows: list[list[int]], toxic: np.ndarray, marks: set[int]) -> np.ndarray:
@@ -128,8 +131,8 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     """
     labels = graded.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
     chosen = F.broadcast(labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", "__grade", _features(text_col).alias("words"))
-    rows = materialise(rows)
+    rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", F.col("__grade").cast("int").alias("__grade"), text_col)
+    rows = materialise(rows.mapInArrow(_features, f"__id {graded.schema[id_col].dataType.simpleString()}, __grade int, words array<string>"))
     sizes = dict(rows.groupBy("__grade").count().collect())
     n, high = sum(sizes.values()), sum(v for k, v in sizes.items() if k > 0)
     if not high or high == n:
