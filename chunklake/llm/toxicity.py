@@ -25,7 +25,7 @@ from .common import fresh, materialise
 #: At most so many labelled rows are fitted, those with the least hash of their id; features that enter.
 SAMPLE_ROWS, FEATURES = 20_000, 2_048
 #: A feature occurs in so many of them at least, its rates differ by so many standard errors; strength of the ridge; severity from which a text is toxic.
-LEAST_ROWS, LEAST_Z, RIDGE, TOXIC_FROM = 5, 6.0, 0.1, 0.5
+LEAST_ROWS, LEAST_Z, RIDGE, TOXIC_FROM = 4, 5.0, 0.05, 0.5
 #: Texts whose features are in memory at once.
 FEATURE_ROWS = 100
 #: Lengths of the beginnings of longer words that are features.
