@@ -6,12 +6,15 @@ the last one, all starts at once, and writes what is new to the shared folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-MOST_ROUNDS = 10_000
+#: Steps along the edges in each round.
+HOPS = 4
 
 
 def ancestors(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -21,20 +24,22 @@ def ancestors(starts: DataFrame, edges: DataFrame, depth: int | None = None) ->
     ``depth``, nodes further away are left out.
     """
     edges = materialise(edges.select("child", "parent").where("parent is not null").distinct())  # read again in each round
-    frontier = materialise(starts.select("start", F.col("start").alias("node")).distinct())
-    rounds = [frontier.withColumn("depth", F.lit(0))]
-    seen = frontier
-    for level in range(1, min(depth, MOST_ROUNDS) + 1 if depth is not None else MOST_ROUNDS):
-        step = frontier.join(edges, frontier["node"] == edges["child"]).select("start", F.col("parent").alias("node")).distinct()
-        frontier = materialise(step.join(seen, ["start", "node"], "left_anti"))
+    frontier = materialise(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    rounds, level = [frontier], 0
+    while depth is None or level < depth:
+        hops = HOPS if depth is None else min(HOPS, depth - level)
+        step, found = frontier, None
+        for hop in range(1, hops + 1):
+            step = step.join(edges, step["node"] == edges["child"]).select("start", F.col("parent").alias("node"), F.lit(level + hop).alias("depth")).distinct()
+            found = step if found is None else found.unionByName(step)
+        seen = reduce(DataFrame.unionByName, rounds).select("start", "node")
+        new = materialise(found.groupBy("start", "node").agg(F.min("depth").alias("depth")).join(seen, ["start", "node"], "left_anti"))
+        rounds.append(new)
+        level += hops
+        frontier = new.where(F.col("depth") == level)  # nearer ones have been expanded already
         if frontier.isEmpty():
             break
-        rounds.append(frontier.withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(frontier)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def merge_bases(a: DataFrame, edges: DataFrame) -> DataFrame:
