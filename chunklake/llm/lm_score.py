@@ -5,6 +5,7 @@ counts, partitioned by the n-gram's hash, meet those of all blocks in the count
 partition joins the totals back to the n-grams that each block asked for. A block then scores its
 documents' n-grams from the joined counts and sums them per document. No table is broadcast or
 collected: a partition holds one row for each block's n-gram, so a frequent n-gram is no hot key.
+What crosses the network is compressed: texts by packs of a block, sorted hashes by their differences.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of an n-gram, factor of each step back, occurrences from which an n-gram of two words or more counts as seen.
-ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
+ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
 #: Code points of a block of documents and n-grams of a partition of the count tables, on average.
-BLOCK_CHARS, PARTITION_GRAMS = 6_000_000, 2_000_000
+BLOCK_CHARS, PARTITION_GRAMS = 12_000_000, 2_000_000
+#: Bytes of texts that a task holds before it packs them by block.
+PACK_BYTES = 50_000_000
 #: Code points of a word with its space, on average, from which the number of partitions is guessed.
 WORD_CHARS = 6
 
@@ -71,14 +74,60 @@ def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, count
 
 
+def _squeezed(b: bytes, level: int = 1) -> bytes:
+    return len(b).to_bytes(8, "little") + pa.Codec("zstd", level).compress(b, asbytes=True)
+
+
+def _expanded(b: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True)
+
+
 def _packed(x: np.ndarray) -> bytes:
-    """Bytes by place of value, so that sorted hashes and small counts compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """Bytes by place of value, so that differences of sorted hashes and small counts compress well."""
+    return _squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _unpacked(b: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_expanded(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _packed_sorted(x: np.ndarray) -> bytes:
+    return _packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unpacked_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b, np.uint64), dtype=np.uint64)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, docs``: the rows of a block that a task has met, as one compressed Arrow stream."""
+
+    def packs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).sort_by("block")
+        block = table.column("block").to_numpy()
+        bounds = [0, *(np.nonzero(np.diff(block))[0] + 1).tolist(), len(block)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            rows = table.slice(a, b - a).drop_columns("block").combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int64()), pa.array([_squeezed(sink.getvalue().to_pybytes(), 3)], pa.binary())], names=["block", "docs"])
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= PACK_BYTES:
+            yield from packs(held)
+            held, size = [], 0
+    if held:
+        yield from packs(held)
+
+
+def _docs(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(_expanded(x.as_py())).read_all() for x in table.column("docs")])
 
 
 def _partition(grams: np.ndarray, partitions: int) -> np.ndarray:
@@ -90,14 +139,14 @@ def _partition(grams: np.ndarray, partitions: int) -> np.ndarray:
 def _ask(order: int, partitions: int):  # noqa: ANN202
     def work(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        _, grams = gram_hashes(table.column("text").to_pylist(), order)
+        _, grams = gram_hashes(_docs(table).column("text").to_pylist(), order)
         rows: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
         words = np.array([len(grams[0])], np.int64)
         for n, (found, count) in enumerate([(np.ones(1, np.uint64), words), *map(_counted, grams)]):  # the empty n-gram occurs at each word
             bounds = _partition(found, partitions)
             for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if b > a:
-                    for k, v in zip(rows, (p, block, n, _packed(found[a:b]), _packed(count[a:b].astype(np.uint32))), strict=True):
+                    for k, v in zip(rows, (p, block, n, _packed_sorted(found[a:b]), _packed(count[a:b].astype(np.uint32))), strict=True):
                         rows[k].append(v)
         return pa.table(rows, schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
 
@@ -106,7 +155,7 @@ def _ask(order: int, partitions: int):  # noqa: ANN202
 
 def _answer(table: pa.Table) -> pa.Table:
     """Totals of one partition's n-grams of one length, for each block in the order in which it asked."""
-    asked = [_unpacked(x.as_py(), np.uint64) for x in table.column("grams")]
+    asked = [_unpacked_sorted(x.as_py()) for x in table.column("grams")]
     counts = [_unpacked(x.as_py(), np.uint32) for x in table.column("counts")]
     every, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.uint64)[at]
@@ -128,6 +177,7 @@ def backoff_logs(totals: list[np.ndarray], words: int, factor: float = BACKOFF,
 
 def _score(order: int, factor: float, least: int, kind: pa.DataType):  # noqa: ANN202
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _docs(docs)
         sizes, grams = gram_hashes(docs.column("text").to_pylist(), order)
         answers = answers.sort_by([("n", "ascending"), ("part", "ascending")])
         totals = []
@@ -162,7 +212,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partitions = max(1, -(-(total // WORD_CHARS) // PARTITION_GRAMS))
     salted = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
     rows = docs.select(F.pmod(salted, F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartition(blocks, "block")
+    rows = rows.mapInArrow(_pack_texts, "block bigint, docs binary").repartition(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(_ask(order, partitions), "part int, block bigint, n int, grams binary, counts binary")
     answers = asked.groupBy("part", "n").applyInArrow(_answer, "part int, block bigint, n int, totals binary")
     kind = docs.schema[id_col].dataType

@@ -51,7 +51,16 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    """Bigrams, as its SQL has them; ``op6_lm_trigrams`` is the model of the operator's own order."""
+    return _scored(_table(spark, sf_dir, "documents"), 2)
+
+
+def op6_lm_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(_table(spark, sf_dir, "documents"), lm_score.ORDER)
+
+
+def _scored(docs: DataFrame, order: int) -> DataFrame:
+    out = lm_score.score_documents(docs, order=order)
     return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
@@ -86,7 +95,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_decontaminate, op4_html_text, op5_simhash_dedup, op6_lm_score, op7_syncmers, op8_toxicity, op9_url_filter, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_decontaminate, op4_html_text, op5_simhash_dedup, op6_lm_score, op6_lm_trigrams, op7_syncmers, op8_toxicity, op9_url_filter, op10_chat_format)}
 
 _OP2 = r"""
 WITH lines AS (

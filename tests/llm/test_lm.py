@@ -38,3 +38,21 @@ def test_edges(docs_of):
     rows = L.score_documents(docs_of([(1, "a b"), (1, "a b"), (None, "a")])).collect()
     assert len(rows) == 3 and {r["n_words"] for r in rows} == {2, 1}
     assert L.score_documents(docs_of([(1, "w " * 200_000)])).first()["n_words"] == 200_000
+
+
+def test_trigram_contexts_count(spark, docs_of, tmp_path):
+    """The query of the whole model tells texts apart that a bigram model scores alike."""
+    from chunklake.llm.queries import QUERIES
+
+    texts = ["a b c", "a b c", "d b e", "d b e", "a b e", "d b c"]
+    docs_of(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log10_score"] for r in QUERIES["op6_lm_trigrams"](spark, str(tmp_path)).collect()}
+    for k, (_, score) in enumerate(brute(texts, 3)):
+        assert got[k] == pytest.approx(score, abs=1e-4)
+    assert abs(got[0] - got[4]) > 0.1 and L.ORDER == 3
+
+
+@pytest.mark.parametrize("n", [1, 5, 70_000])
+def test_packing_loses_nothing(n):
+    x = L.np.unique(L.np.random.default_rng(n).integers(0, 2**64, n, L.np.uint64))
+    assert (L._unpacked_sorted(L._packed_sorted(x)) == x).all() and (L._unpacked(L._packed(x), L.np.uint64) == x).all()
