@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm import decontaminate, line_dedup, queries, simhash_dedup, toxicity
+from chunklake.llm import decontaminate, line_dedup, near_copies, queries, toxicity
 from chunklake.llm.common import fresh, shared_folder
 
 
@@ -26,8 +26,8 @@ def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group."""
-    return simhash_dedup.keep_first(docs).select(docs.columns)
+    """The document with the smallest id of each group of similarity 0.8 over five-word shingles."""
+    return near_copies.keep_first(docs).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
