@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; a document goes only if nothing but blank lines is left of it."""
     removed = fresh(docs, "removed")
-    out = line_dedup.dedup_lines(docs, count_col=removed)
+    out = line_dedup.dedup_passages(docs, count_col=removed)
     emptied = (F.col(removed) > 0) & (F.regexp_replace("text", r"[\x20\n]+", "") == "")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)

@@ -37,3 +37,17 @@ def test_edges(spark, docs_of):
     long = "\n".join(f"line {k}" for k in range(20_000))
     got = L.dedup_lines(docs_of([(1, long), (2, "x\n" + long)])).where("doc_id = 2").first()
     assert got["text"] == "x" and got["n_removed"] == 20_000
+
+
+def test_passages_inside_lines(spark, docs_of):
+    """The pipeline's stage finds a passage in lines that are broken elsewhere, and repeated short texts."""
+    import corpus_pipeline as P
+
+    long = "word " * 49 + "last"
+    rows = [(1, "A b. C d. E f. G h.\nI j."), (2, "x. C d.\nE f. G h. y.\n\nz."), (3, "only this"), (4, "only this"), (5, f"n1.\n{long}\nn2."), (6, f"{long}\nn3.")]
+    rows += [(7, "q. A b. r. C d. s."), (8, "two. lines"), (9, "two.  lines "), (10, None), (11, "你好。再见。谢谢。一"), (12, "二。你好。再见。谢谢。")]
+    got = {x["doc_id"]: x["text"] for x in P.strip_repeated_lines(spark, docs_of(rows).selectExpr("*", "0L AS n_chars"), None).collect()}
+    want = dict(rows) | {2: "x. \ny.\n\nz.", 6: "n3.", 12: "二。"}
+    for k in (4, 9):
+        del want[k]
+    assert got == want
