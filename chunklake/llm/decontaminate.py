@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, fresh, materialise
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Fingerprints of texts with similarity 0.8 differ by 10 bits on average; 17 is 2.5 deviations more.
-RADIUS, BLOCKS = 17, 6
+#: Fingerprints of texts with similarity 0.8 differ by 10 bits on average; 23 is over four deviations more.
+RADIUS, BLOCKS = 23, 6
 
 
 def words_column(text: Column) -> Column:
@@ -128,7 +128,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     # Equal windows of many documents are looked up once.
     classes = windows.groupBy("len", "fp", "sh").agg(F.count("*").alias("n")).drop("n")
     index = bench.select("item_id", "len", F.col("fp").alias("item_fp"), F.explode(block_values("fp", True)).alias("b")).select("item_id", "len", "item_fp", "b.block", "b.value")
-    index = broadcast_if_small(index, n_items * 6 * 67)
+    index = broadcast_if_small(index, n_items * 6 * 232)
     probes = classes.select("len", "fp", "sh", F.explode(block_values("fp", False)).alias("b")).select("len", "fp", "sh", "b.block", "b.value")
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = probes.join(index, ["len", "block", "value"]).where(hamming <= RADIUS)
