@@ -35,6 +35,12 @@ UNWANTED = frozenset(
     "comment comments commentlist reply replies respond discussion disqus form login signup signin register search newsletter subscribe subscription paywall share sharing social follow related recommended recommendations "
     "popular trending teaser popup modal overlay hidden complementary contentinfo dialog".split()
 )
+#: Names that tell how an element looks or what it allows, and elements that name a page's own text.
+MODIFIER = re.compile(r"(?:has|with|no|is|without)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|on|off)", re.IGNORECASE)
+LANDMARK = frozenset("article main h1".split())
+#: Words of a class or id that name the wrapper of a text, and rounds in which marked elements are spared.
+WRAPPER = frozenset("article post entry story content main".split())
+MOST_ROUNDS = 20
 #: What a block credits to its container and to that one's container, and the bonus of elements that name an article.
 PARENT, GRANDPARENT, NAMED = 1.0, 0.5, 1.25
 #: A winning path that holds less than this share of the page's own best is not used.
@@ -60,6 +66,9 @@ class Element:
     in_header: bool
     in_link: bool
     number: int
+    hard: bool = False
+    soft: Element | None = None
+    wrapper: bool = False
     score: float = 0.0
     _path: str | None = field(default=None)
 
@@ -78,36 +87,66 @@ class Block:
     linked: int
 
 
-def _element(tag: str, attrs: str, up: Element | None, number: int) -> Element:
+def _element(tag: str, attrs: str, up: Element | None, number: int, spared: frozenset[int] = frozenset()) -> Element:
+    """``hard``: inside what is never text; ``soft``: the nearest element around or here that a name marks as unwanted."""
     names: dict[str, str] = {}
     if attrs:
         for m in _NAMES.finditer(attrs):
             names.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
     classes = names.get("class", "")
-    unwanted = tag in DROPPED or bool(up and up.unwanted)
-    if not unwanted and names:
-        marks = " ".join((classes, names.get("id", ""), names.get("role", "")))
+    hard, marked, wrapper = tag in DROPPED or bool(up and up.hard), False, tag in ("article", "main")
+    if not hard and names:
+        marks = [w for w in " ".join((classes, names.get("id", ""), names.get("role", ""))).split() if not MODIFIER.fullmatch(w)]
+        words = {w.lower() for m in marks for w in _WORD.findall(m)}
         if tag in PLAIN:
-            unwanted = tag == "article" and bool(UNWANTED & set(marks.lower().split()))
+            marked = tag == "article" and bool(UNWANTED & {m.lower() for m in marks})
         else:
-            unwanted = bool(UNWANTED & {w.lower() for w in _WORD.findall(marks)})
+            marked = bool(UNWANTED & words)
+        wrapper = wrapper or tag not in PLAIN and bool(WRAPPER & words)
         style = names.get("style", "").replace(" ", "").lower()
-        unwanted = unwanted or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+        hard = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
     step = ".".join([tag, *sorted({_DIGITS.sub("N", c) for c in classes.split()})])
-    return Element(tag, step, up, unwanted, tag == "header" or bool(up and up.in_header), tag == "a" or bool(up and up.in_link), number)
+    e = Element(tag, step, up, False, tag == "header" or bool(up and up.in_header), tag == "a" or bool(up and up.in_link), number, hard, up.soft if up else None, wrapper)
+    if marked and number not in spared:
+        e.soft = e
+    e.unwanted = hard or e.soft is not None
+    return e
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order, without those of unwanted elements.
 
+    An element that only its name marks is spared if it holds a heading h1, an article or a main, or
+    most of the text outside links, while no such element stands outside of marked ones.
+    """
+    spared: frozenset[int] = frozenset()
+    for _ in range(MOST_ROUNDS):
+        out, more = _parsed(page, spared)
+        if not more:
+            break
+        spared |= more
+    return out
+
+
+def _parsed(page: str | None, spared: frozenset[int]) -> tuple[list[Block], set[int]]:
+    """The blocks, and the outermost marked elements that are to be spared too.
+
     Of a page's or an article's header only headings stay, and those only inside article or main.
     """
     page = page or ""
     out: list[Block] = []
     now = root = _element("#", "", None, 0)
     parts: list[str] = []
-    linked = number = 0
+    linked = number = outside = 0
     home = root
+    held: dict[int, int] = {}  # text of the outermost marked elements
+    landmarks: set[int] = set()
+    named_outside = False
+
+    def outermost(e: Element) -> int:
+        while e.soft.up and e.soft.up.soft:
+            e = e.soft.up
+        return e.soft.number
 
     def close() -> None:
         nonlocal linked
@@ -136,6 +175,13 @@ def blocks_of(page: str | None) -> list[Block]:
 
     at = 0
     for m in _TOKEN.finditer(page):
+        if m.start() > at and not now.in_link and not now.hard:
+            n = len(page[at : m.start()].strip())
+            if now.soft:
+                k = outermost(now)
+                held[k] = held.get(k, 0) + n
+            else:
+                outside += n
         if m.start() > at and wanted(now):
             text = page[at : m.start()]
             if "&" in text:
@@ -176,13 +222,19 @@ def blocks_of(page: str | None) -> list[Block]:
                 now = e.up
         if tag not in VOID:
             number += 1
-            now = _element(tag, attrs, now, number)
+            now = _element(tag, attrs, now, number, spared)
+            if tag in LANDMARK and not now.hard and not now.in_header:
+                if not now.soft:
+                    named_outside = True
+                elif now.up.soft:
+                    landmarks.add(outermost(now))
     if at < len(page) and wanted(now) and not page[at:].startswith("<"):
         if not parts:
             home = block_home(now)
         parts.append(html_lib.unescape(page[at:]))
     close()
-    return out
+    total = outside + sum(held.values())
+    return out, set() if named_outside else landmarks | {k for k, n in held.items() if 2 * n > total}
 
 
 def best_container(blocks: list[Block]) -> Element | None:

@@ -51,3 +51,10 @@ def test_query(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.DOTALL)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", " ", x))).strip() for x in re.split("</?(?:p|h1)>", re.sub("</?b>", "", article))]
         assert r["text"] == "\n\n".join(x for x in parts if x)
+
+
+def test_names_that_do_not_mark():
+    for names in ("content has-sidebar", "post comments-open", "story share-enabled", "with-ads", "no-menu"):
+        assert H.extract(f"<body><div class='{names}'><p>Some text of the page.</p></div><div class=sidebar><p>Side text</p></div></body>", None) == "Some text of the page.", names
+    assert H.extract("<body><div class='page sidebar'><h1>T</h1><p>Text of it.</p><div class=share>Share</div></div><div class=ad>Buy</div></body>", None) == "T\n\nText of it."
+    assert H.extract(f"<body><div class=related><p>{'text ' * 50}</p></div><p>more</p></body>", None).startswith("text")
