@@ -263,16 +263,44 @@ def _inside(e: Element | None, holds) -> bool:  # noqa: ANN001
     return False
 
 
+def main_container(blocks: list[Block]) -> Element | None:
+    """The best container, or the article, else main, else wrapper around it, unless links are most of what that adds.
+
+    A wrapper is named as one or adds a heading h1; it is looked for below the body.
+    """
+    best = best_container(blocks)
+    if best is None or best.tag in ("article", "main", "body", "html", "#"):
+        return best
+    around, e = [], best.up
+    while e and e.tag not in ("body", "html", "#"):
+        around.append(e)
+        if e.tag == "article":
+            break
+        e = e.up
+    rest = [b for b in blocks if not _inside(b.home, lambda e: e is best)]
+    for e in sorted(around, key=lambda e: ("article", "main").index(e.tag) if e.tag in ("article", "main") else 2):
+        added = [b for b in rest if _inside(b.home, lambda x, e=e: x is e)]
+        if added and (e.wrapper or any(_inside(b.home, lambda x: x.tag == "h1") for b in added)) and 2 * sum(b.linked for b in added) <= sum(len(b.text) for b in added):
+            return e
+    return best
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """The blocks on ``path``, or in the page's own best container, joined by an empty line."""
+    """The blocks on ``path``, or in the page's own main container, joined by an empty line.
+
+    Where the path's blocks are some of the own container's, the own ones stay; where they are others,
+    the path is used if it holds LEAST_SHARE of the own text.
+    """
     blocks = blocks_of(page)
-    best = best_container(blocks)
+    best = main_container(blocks)
     if best is None:
         return ""
     own = [b.text for b in blocks if _inside(b.home, lambda e: e is best)]
     if path and path != best.path:
-        by_path = [b.text for b in blocks if _inside(b.home, lambda e: e.path == path)]
-        if sum(map(len, by_path)) >= LEAST_SHARE * sum(map(len, own)):
+        on_path = [b for b in blocks if _inside(b.home, lambda e: e.path == path)]
+        by_path = [b.text for b in on_path]
+        inside = [_inside(b.home, lambda e: e is best) for b in on_path]
+        if (not any(inside) or sum(inside) == len(own)) and sum(map(len, by_path)) >= LEAST_SHARE * sum(map(len, own)):
             own = by_path
     elif path:
         own = [b.text for b in blocks if _inside(b.home, lambda e: e.path == path)]
@@ -288,7 +316,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         count: dict[tuple[str, str], int] = {}
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if (e := best_container(blocks_of(page))) is not None:
+            if (e := main_container(blocks_of(page))) is not None:
                 key = (_host(url), e.path)
                 count[key] = count.get(key, 0) + 1
         keys = list(count)

@@ -53,6 +53,16 @@ def test_query(spark, sf_dir):
         assert r["text"] == "\n\n".join(x for x in parts if x)
 
 
+def test_title_and_lead_beside_the_body():
+    long = "word " * 200
+    for tag in ("article", "main", "div class=post", "section"):
+        page = f"<body><nav>menu</nav><{tag}><h1>Title</h1><div class=lead><p>Lead text.</p></div><div class=body><p>{long}</p></div></{tag.split()[0]}><div class=other><p>other</p></div></body>"
+        assert H.extract(page, None) == f"Title\n\nLead text.\n\n{long.strip()}", tag
+        assert H.extract(page, H.best_container(H.blocks_of(page)).path).startswith("Title")  # a host's path loses none of it
+    links = f"<body><main><div><p><a href=x>{'link ' * 9}</a></p></div><div class=body><p>{long}</p></div></main></body>"
+    assert H.extract(links, None) == long.strip()
+
+
 def test_names_that_do_not_mark():
     for names in ("content has-sidebar", "post comments-open", "story share-enabled", "with-ads", "no-menu"):
         assert H.extract(f"<body><div class='{names}'><p>Some text of the page.</p></div><div class=sidebar><p>Side text</p></div></body>", None) == "Some text of the page.", names
