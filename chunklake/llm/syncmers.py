@@ -13,23 +13,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S = 6, 2
+#: Characters of scripts that are written without spaces are words; so are those of words of more characters than this.
+UNSPACED, LONG_WORD = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}", 32
 #: Documents that one bucket of the document order holds on average, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
 
 
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the words, which white space ends; case counts."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"), F.lit(0))
+    parts = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > LONG_WORD, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))))
+    return F.transform(parts, lambda w: F.xxhash64(w))
 
 
 def anchors_of(words: Column, shorts: Column) -> Column:
-    """``array<int>``: the anchors in text order; under ``K`` words: one for the whole sequence."""
+    """``array<int>``: the anchors in text order; under ``K`` words: one for the whole sequence; if no run is one, the least hash."""
     last = K - S
     at = lambda i, d: F.get(shorts, i + d)
     inner = lambda i: F.least(*(at(i, d) for d in range(last + 1)))
     edge = lambda i: F.least(at(i, 0), at(i, last)) == inner(i)
     picked = F.filter(F.sequence(F.lit(0), F.size(words) - K), edge)
-    anchors = F.transform(picked, lambda i: F.hash(*(F.get(words, i + d) for d in range(K))))
+    run = lambda i: F.hash(*(F.get(words, i + d) for d in range(K)))
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.size(words) - K), run))
+    anchors = F.when(F.size(picked) > 0, F.transform(picked, run)).otherwise(F.array(least))
     return F.when(F.size(words) >= K, anchors).when(F.size(words) > 0, F.array(F.hash(words))).otherwise(F.expr("cast(array() as array<int>)"))
 
 

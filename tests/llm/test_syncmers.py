@@ -75,3 +75,13 @@ def test_native(spark, sf_dir):
     for name in ("op7_syncmers", "op9_url_filter", "op10_chat_format", "op3_decontaminate"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "BroadcastNestedLoop", "Cartesian")), name
+
+
+def test_short_and_unspaced_texts(docs_of):
+    r = random.Random(6)
+    rows = [(k, " ".join(f"u{r.randint(0, 10**6)}" for _ in range(6 + k % 3))) for k in range(60)]
+    got = S.fingerprint(docs_of(rows)).collect()
+    assert all(x["n_anchors"] > 0 for x in got) and len({x["fingerprint"] for x in got}) == 60
+    letters = ["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(400)) for _ in range(3)] + ["".join(r.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(3)]
+    for x in S.compare_edited(docs_of(list(enumerate(letters)))).collect():
+        assert 0.35 < x["near_edited"] < 0.65 and x["near_next"] < 0.02
