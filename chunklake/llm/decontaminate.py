@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
 Words are the lower-cased runs of letters and digits; a shingle is five consecutive words and weighs
-as much as it occurs. A window can reach the similarity asked for only if it shares a shingle with
-the item, so windows of an item's length are laid wherever a shingle of an item of this length
-occurs, aligned with it. Their SimHash fingerprints are looked up in an index of the items': the
-64 bits are cut into ``BLOCKS`` blocks, and every fingerprint within ``RADIUS`` bits agrees with the
-item's in some block up to ``RADIUS // BLOCKS`` bits; the index holds all these neighbours of each
-block. The candidates are then verified by the exact weighted similarity. Built-in functions only.
+as much as it occurs. Windows of an item's length are laid at every position where enough shingles of
+items of that length stand, in any order, for the similarity asked for; elsewhere it is out of reach.
+Their SimHash fingerprints are looked up in an index of the items': the 64 bits are cut into
+``BLOCKS`` blocks, and every fingerprint within ``RADIUS`` bits agrees with the item's in some block
+up to ``RADIUS // BLOCKS`` bits; the index holds all these neighbours of each block. The candidates
+are then verified by the exact weighted similarity. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ def _shingle(words: Column | str, at: Column, k: int) -> Column:
     return F.xxhash64(*(F.get(words, at + i) for i in range(k)))
 
 
+def _all_shingles(words: str, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: _shingle(words, i, k))
+
+
 def _shingles(words: str, k: Column) -> Column:
     """Hashes of all shingles of a short list of words; ``k`` is at most SHINGLE_WORDS."""
     hashed = lambda i, n: F.xxhash64(*(F.get(words, i + d) for d in range(n)))
@@ -92,6 +96,29 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, least / union).otherwise(F.lit(0.0))
 
 
+def window_starts(rows: DataFrame, places: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """``doc_id, t, len, k, starts``: the starts of all windows of ``len`` words that can hold the similarity.
+
+    A window of ``a`` shingles can reach the similarity ``s`` with an item of ``b`` only if
+    ``s / (1 + s) * (a + b)`` of its shingles stand in items of that length, wherever they stand there.
+    ``rows``: ``doc_id, t`` (a text's hash) and its words ``w``; ``places``: ``len, k, h``.
+    """
+    hits = None
+    for k in sizes:
+        here = rows.where(F.size("w") >= k).select("doc_id", "t", "w", F.size("w").alias("nw"))
+        here = here.select("doc_id", "t", "nw", F.posexplode(_all_shingles("w", k)).alias("p", "h"))
+        here = here.join(places.where(F.col("k") == k), "h").select("doc_id", "t", "nw", "len", "k", "p")
+        hits = here if hits is None else hits.unionByName(here)
+    at = hits.groupBy("doc_id", "t", "len", "k").agg(F.first("nw").alias("nw"), F.sort_array(F.collect_set("p")).alias("at"))
+    at = at.withColumn("b", F.col("len") - F.col("k") + 1).withColumn("a", F.least("b", F.col("nw") - F.col("k") + 1))
+    at = at.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("b")) * (similarity / (1 + similarity)) - 1e-9).cast("int"))).where(F.size("at") >= F.col("need"))
+    lo = lambda j: F.greatest(F.lit(0), F.get("at", j + F.col("need") - 1) - F.col("a") + 1)
+    hi = lambda j: F.least(F.get("at", j), F.greatest(F.lit(0), F.col("nw") - F.col("len")))
+    whole = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda j: lo(j) <= hi(j))
+    starts = F.array_distinct(F.flatten(F.transform(whole, lambda j: F.sequence(lo(j), hi(j)))))
+    return at.select("doc_id", "t", "len", "k", starts.alias("starts")).where(F.size("starts") > 0)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, start, hamming, similarity``: the best window of each document for each item.
 
@@ -106,24 +133,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     sizes = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most five values
     n_shingles = bench.agg(F.sum(F.size("sh"))).first()[0] or 0
     n_items = bench.count()
-    # Where a shingle stands in items of each length; `before` is the one ahead of it, so that of a run only the head is laid.
-    places = bench.select("len", "k", F.posexplode("sh").alias("at", "h"), "sh").withColumn("before", F.when(F.col("at") > 0, F.get("sh", F.col("at") - 1))).drop("sh").distinct()
-    places = broadcast_if_small(places, n_shingles)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words_column(F.col(text_col)).alias("w"))
-    laid = None
-    for k in sizes:
-        at = F.col("p")
-        here = rows.where(F.size("w") >= k).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("p"))
-        here = here.withColumn("h", _shingle("w", at, k)).join(places.where(F.col("k") == k).select("len", "at", "h", "before"), "h")
-        run = (at > 0) & F.col("before").isNotNull() & (_shingle("w", at - 1, k) == F.col("before"))
-        start = F.greatest(F.lit(0), F.least(at - F.col("at"), F.size("w") - F.col("len")))
-        here = here.where(~run).select("doc_id", "len", F.lit(k).alias("k"), start.alias("start"), F.slice("w", start + 1, F.col("len")).alias("window"))
-        laid = here if laid is None else laid.unionByName(here)
-    if laid is None:
+    places = broadcast_if_small(bench.select("len", "k", F.explode("sh").alias("h")).distinct(), n_shingles)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), words_column(F.col(text_col)).alias("w"))
+    if not sizes:
         return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, start int, hamming int, similarity double")
+    starts = materialise(window_starts(rows, places, sizes, similarity))
+    windows = rows.join(broadcast_if_small(starts, starts.agg(F.sum(F.size("starts"))).first()[0] or 0), ["doc_id", "t"])
+    windows = windows.select("doc_id", "len", "k", "w", F.explode("starts").alias("start"))
+    windows = windows.select("doc_id", "len", "k", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("window"))
     # Few bytes but much work a row: dealt by number, so that small partitions are not put together.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = laid.repartition(n, "doc_id", "len", "start").groupBy("doc_id", "len", "start").agg(F.first("window").alias("window"), F.first("k").alias("k"))
+    windows = windows.repartition(n, "doc_id", "len", "start")
     windows = materialise(with_fingerprint(windows, "window", F.col("k")).select("doc_id", "len", "start", "sh", "fp"))
     # Equal windows of many documents are looked up once.
     classes = windows.groupBy("len", "fp", "sh").agg(F.count("*").alias("n")).drop("n")

@@ -105,3 +105,54 @@ def test_no_pair_at_the_bar_is_lost(spark, docs_of):
     found = D.find_leaks(docs_of(rows), bench).collect()
     assert sorted((x["doc_id"], x["item_id"], x["similarity"]) for x in found) == [(k, k, 0.8) for k in range(len(items))]
     assert max(x["hamming"] for x in found) > 17
+
+
+def rearranged(r, words, how):
+    """A passage with its halves swapped, words inserted, taken out or changed, or parts moved."""
+    w = list(words)
+    n = len(w)
+    if how == "swapped":
+        return w[n // 2 :] + w[: n // 2]
+    if how == "inserted":
+        for _ in range(r.randint(1, 2)):
+            w.insert(r.randrange(n), f"in{r.randint(0, 999)}")
+    elif how == "shortened":
+        at = r.randrange(n - 2)
+        del w[at : at + r.randint(1, 2)]
+    elif how == "cut":
+        del w[: r.randint(1, n // 10)]
+    elif how == "changed":
+        w[r.choice([0, n // 2, n - 1])] = "CHANGED"
+    elif how == "rotated":
+        k = r.randint(1, n - 1)
+        w = w[k:] + w[:k]
+    return w
+
+
+def test_passages_out_of_order(spark, docs_of):
+    r = random.Random(21)
+    vocab = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(r.choice(vocab) for _ in range(r.choice([30, 45, 60, 61, 90])))) for k in range(10)]
+    hows = ["swapped", "inserted", "shortened", "cut", "changed", "rotated"]
+    docs = []
+    for k in range(96):
+        _, item = items[k % 10]
+        body = [r.choice(vocab) for _ in range(r.randint(0, 120))]
+        at = r.randint(0, len(body))
+        body[at:at] = rearranged(r, item.split(), hows[k % 6])
+        docs.append((k, " ".join(body)))
+    want = brute(docs, items)
+    assert {hows[d % 6] for d, _ in want} == set(hows) and len(want) > 60
+    got = found(spark, docs_of, docs, items)
+    print(f"recall {len(want.keys() & got.keys())} of {len(want)}")
+    assert got == want
+
+
+def test_long_texts_and_repeated_shingles(spark, docs_of):
+    r = random.Random(4)
+    item = " ".join(["la"] * 20 + [f"x{k}" for k in range(20)])
+    long = " ".join(f"y{r.randint(0, 5000)}" for _ in range(60_000))
+    docs = [(1, f"{long} {item} {long}"), (2, "la " * 3000), (3, long), (3, item), (4, " ".join([f"x{k}" for k in range(20)] + ["la"] * 20))]
+    got = found(spark, docs_of, docs, [(1, item), (2, "la " * 40)])
+    assert got[1, 1] == 1.0 and got[3, 1] == 1.0 and got[2, 2] == 1.0 and (3, 2) not in got
+    assert got.get((4, 1)) == brute(docs[4:], [(1, item)]).get((4, 1))
