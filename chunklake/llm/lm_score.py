@@ -4,8 +4,10 @@ The documents are dealt into blocks. Each block explodes its n-grams and counts
 counts, partitioned by the n-gram's hash, meet those of all blocks in the count tables; each
 partition joins the totals back to the n-grams that each block asked for. A block then scores its
 documents' n-grams from the joined counts and sums them per document. No table is broadcast or
-collected: a partition holds one row for each block's n-gram, so a frequent n-gram is no hot key.
-What crosses the network is compressed: texts by packs of a block, sorted hashes by their differences.
+collected. What crosses the network is compressed: texts by packs of a block, and a block's n-grams
+of one partition as one pack of sorted hashes, by their differences. A pack holds one n-gram at
+least, so there are never more of them than rows in a plain table of (block, n-gram, count), and a
+frequent n-gram is no hot key, since each block asks for it once.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of an n-gram, factor of each step back, occurrences from which an n-gram of two words or more counts as seen.
-ORDER, BACKOFF, LEAST_COUNT = 3, 0.4, 2
+#: Words of an n-gram, factor of each step back.
+ORDER, BACKOFF = 3, 0.4
 #: Code points of a block of documents and n-grams of a partition of the count tables, on average.
 BLOCK_CHARS, PARTITION_GRAMS = 12_000_000, 2_000_000
 #: Bytes of texts that a task holds before it packs them by block.
@@ -130,10 +132,11 @@ def _docs(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(_expanded(x.as_py())).read_all() for x in table.column("docs")])
 
 
-def _partition(grams: np.ndarray, partitions: int) -> np.ndarray:
-    """Bounds of each partition's share of sorted hashes: equal ranges of the hash."""
-    cuts = np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(grams, cuts), [len(grams)]))
+def _parts(grams: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The partitions that have any of the sorted hashes, equal ranges of these, and where each one's begin and end."""
+    part = ((grams >> np.uint64(32)) * np.uint64(partitions)) >> np.uint64(32)
+    bounds = np.concatenate(([0], np.nonzero(np.diff(part))[0] + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+    return part[bounds[:-1]], bounds
 
 
 def _ask(order: int, partitions: int):  # noqa: ANN202
@@ -143,11 +146,10 @@ def _ask(order: int, partitions: int):  # noqa: ANN202
         rows: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
         words = np.array([len(grams[0])], np.int64)
         for n, (found, count) in enumerate([(np.ones(1, np.uint64), words), *map(_counted, grams)]):  # the empty n-gram occurs at each word
-            bounds = _partition(found, partitions)
-            for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if b > a:
-                    for k, v in zip(rows, (p, block, n, _packed_sorted(found[a:b]), _packed(count[a:b].astype(np.uint32))), strict=True):
-                        rows[k].append(v)
+            parts, bounds = _parts(found, partitions)
+            for p, a, b in zip(parts.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for k, v in zip(rows, (p, block, n, _packed_sorted(found[a:b]), _packed(count[a:b].astype(np.uint32))), strict=True):
+                    rows[k].append(v)
         return pa.table(rows, schema=pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
 
     return work
@@ -158,37 +160,54 @@ def _answer(table: pa.Table) -> pa.Table:
     asked = [_unpacked_sorted(x.as_py()) for x in table.column("grams")]
     counts = [_unpacked(x.as_py(), np.uint32) for x in table.column("counts")]
     every, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.uint64)[at]
+    total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)[at]
     bounds = np.cumsum([0, *map(len, asked)])
     totals = [_packed(total[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return pa.table({"part": table.column("part"), "block": table.column("block"), "n": table.column("n"), "totals": pa.array(totals, pa.binary())})
 
 
-def backoff_logs(totals: list[np.ndarray], words: int, factor: float = BACKOFF, least: int = LEAST_COUNT) -> np.ndarray:
-    """log10 of the stupid-backoff score of each word; ``totals[n-1]``: corpus counts of the n-grams that end at it."""
-    score = np.log10(totals[0] / max(words, 1))
-    for n in range(2, len(totals) + 1):
-        context = np.concatenate(([0], totals[n - 2][:-1]))
-        seen = totals[n - 1] >= least
-        step = np.where(totals[n - 1] > 0, math.log10(factor) + score, score)  # no step back where the text has no such n-gram
-        score = np.where(seen, np.log10(np.maximum(totals[n - 1], 1) / np.maximum(context, 1)), step)
+def backoff_logs(counts: list[np.ndarray], present: list[np.ndarray], words: np.ndarray, factor: float = BACKOFF) -> np.ndarray:
+    """log10 of the stupid-backoff score of each word.
+
+    ``counts[n-1]``: corpus counts of the n-grams that end at it; ``present[n-1]``: whether its text has
+    such an n-gram, that is, whether n words stand there; ``words``: words of the corpus.
+    """
+    score = np.log10(np.maximum(counts[0], 1) / np.maximum(words, 1))
+    for n in range(2, len(counts) + 1):
+        context = np.concatenate(([1], counts[n - 2][:-1]))
+        step = np.where(present[n - 1], math.log10(factor) + score, score)
+        score = np.where(counts[n - 1] > 0, np.log10(np.maximum(counts[n - 1], 1) / np.maximum(context, 1)), step)
     return score
 
 
-def _score(order: int, factor: float, least: int, kind: pa.DataType):  # noqa: ANN202
+def _joined(grams: np.ndarray, doc: np.ndarray, known: np.ndarray, held_out: bool) -> np.ndarray:
+    """The total of each word's n-gram, less those of its own document if ``held_out``; ``known``: totals of the distinct n-grams in order."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    order = np.argsort(grams, kind="stable")
+    ranked, owner = grams[order], doc[order]
+    new = np.concatenate(([ranked[0] != 0], ranked[1:] != ranked[:-1]))  # those that begin before their text have none
+    at = np.cumsum(new) - 1
+    total = np.where(at >= 0, known[np.maximum(at, 0)], 0) if len(known) else np.zeros(len(grams), np.int64)
+    if held_out:
+        bounds = np.concatenate(([0], np.nonzero(new[1:] | (owner[1:] != owner[:-1]))[0] + 1, [len(grams)]))
+        sizes = np.diff(bounds)
+        total = np.where(at >= 0, total - np.repeat(sizes, sizes), 0)
+    out = np.empty(len(grams), np.int64)
+    out[order] = total
+    return out
+
+
+def _score(order: int, factor: float, held_out: bool, kind: pa.DataType):  # noqa: ANN202
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _docs(docs)
         sizes, grams = gram_hashes(docs.column("text").to_pylist(), order)
         answers = answers.sort_by([("n", "ascending"), ("part", "ascending")])
-        totals = []
-        known_of = lambda n: np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x.as_py(), np.uint64) for x in answers.filter(pa.compute.equal(answers.column("n"), n)).column("totals"))])
-        words = int(known_of(0)[0])
-        for n, g in enumerate(grams, 1):
-            found, _ = _counted(g)
-            known = known_of(n)
-            at = np.searchsorted(found, g)
-            totals.append(np.where(g != 0, known[np.minimum(at, max(len(known) - 1, 0))], 0) if len(known) else np.zeros(len(g), np.uint64))
-        logs = np.concatenate((backoff_logs(totals, words, factor, least), [0.0]))
+        known_of = lambda n: np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_py(), np.int64) for x in answers.filter(pa.compute.equal(answers.column("n"), n)).column("totals"))])
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        counts = [_joined(g, doc, known_of(n), held_out) for n, g in enumerate(grams, 1)]
+        words = known_of(0)[0] - (np.repeat(sizes, sizes) if held_out else 0)
+        logs = np.concatenate((backoff_logs(counts, [g != 0 for g in grams], words, factor), [0.0]))
         begin = np.minimum(np.cumsum(sizes) - sizes, len(logs) - 1)
         sums = np.where(sizes > 0, np.add.reduceat(logs, begin), 0.0) if len(sizes) else np.zeros(0)
         return pa.table({"id": docs.column("id"), "n_words": pa.array(sizes), "log10_score": pa.array(sums)}, schema=pa.schema([("id", kind), ("n_words", pa.int64()), ("log10_score", pa.float64())]))
@@ -196,25 +215,27 @@ def _score(order: int, factor: float, least: int, kind: pa.DataType):  # noqa: A
     return work
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, factor: float = BACKOFF, least: int = LEAST_COUNT) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, factor: float = BACKOFF, held_out: bool = True) -> DataFrame:
     """``id, n_words, log10_score, mean_log10`` of every row under the counts of all rows.
 
     The score of a word is count(n-gram) / count(its context) at the greatest length from ``order``
-    down at which the n-gram occurs ``least`` times or more, times ``factor`` for each step back; a
-    single word's is its share of all words. Words at the start of a text begin with shorter n-grams.
-    Null and wordless texts have no words, sum 0 and null mean; repeated rows count and are scored
-    as often as they stand; rows with null ids are scored under a null id.
+    down at which the n-gram occurs, times ``factor`` for each step back; a single word's is its share
+    of all words, one that does not occur counting as one. With ``held_out`` all counts are those of the
+    other rows, since every n-gram of a text occurs in the text itself; without, no step back is ever
+    taken. Words at the start of a text begin with shorter n-grams. Null and wordless texts have no
+    words, sum 0 and null mean; repeated rows count and are scored as often as they stand; rows with
+    null ids are scored under a null id.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     total = docs.agg(F.sum(F.char_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
     partitions = max(1, -(-(total // WORD_CHARS) // PARTITION_GRAMS))
-    salted = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
+    salted = F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.spark_partition_id())  # repeated rows part as well
     rows = docs.select(F.pmod(salted, F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.mapInArrow(_pack_texts, "block bigint, docs binary").repartition(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(_ask(order, partitions), "part int, block bigint, n int, grams binary, counts binary")
     answers = asked.groupBy("part", "n").applyInArrow(_answer, "part int, block bigint, n int, totals binary")
     kind = docs.schema[id_col].dataType
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, factor, least, to_arrow_type(kind)), f"id {kind.simpleString()}, n_words bigint, log10_score double")
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, factor, held_out, to_arrow_type(kind)), f"id {kind.simpleString()}, n_words bigint, log10_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log10_score", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")).alias("mean_log10"))

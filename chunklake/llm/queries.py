@@ -51,16 +51,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams, as its SQL has them; ``op6_lm_trigrams`` is the model of the operator's own order."""
-    return _scored(_table(spark, sf_dir, "documents"), 2)
-
-
-def op6_lm_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_table(spark, sf_dir, "documents"), lm_score.ORDER)
-
-
-def _scored(docs: DataFrame, order: int) -> DataFrame:
-    out = lm_score.score_documents(docs, order=order)
+    """``doc_id, n_words, log10_score, mean_log10`` under the trigram counts of all other documents."""
+    out = lm_score.score_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), F.round("mean_log10", 6).alias("mean_log10"))
 
 
@@ -95,7 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_decontaminate, op4_html_text, op5_simhash_dedup, op6_lm_score, op6_lm_trigrams, op7_syncmers, op8_toxicity, op9_url_filter, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_decontaminate, op4_html_text, op5_simhash_dedup, op6_lm_score, op7_syncmers, op8_toxicity, op9_url_filter, op10_chat_format)}
 
 _OP2 = r"""
 WITH lines AS (
@@ -123,13 +115,19 @@ WITH words AS (
 ), toks AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM words
 ), grams AS (
-  SELECT doc_id, pos, w AS w2, lag(w) OVER d AS w1 FROM toks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, w AS w3, lag(w) OVER d AS w2, lag(w, 2) OVER d AS w1 FROM toks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
 ), counted AS (
-  SELECT doc_id, pos, count(*) OVER () AS n, count(*) OVER (PARTITION BY w2) AS f1, CASE WHEN w1 IS NOT NULL THEN count(*) OVER (PARTITION BY w1, w2) END AS f2 FROM grams
+  SELECT doc_id, pos, w1, w2, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
+         count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY doc_id, w3) AS f1,
+         count(*) OVER (PARTITION BY w2, w3) - count(*) OVER (PARTITION BY doc_id, w2, w3) AS f2,
+         count(*) OVER (PARTITION BY w1, w2, w3) - count(*) OVER (PARTITION BY doc_id, w1, w2, w3) AS f3
+  FROM grams
 ), contexts AS (
-  SELECT *, lag(f1) OVER d AS c1 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT *, lag(f1) OVER d AS c1, lag(f2) OVER d AS c2 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), one AS (SELECT *, log10(greatest(f1, 1)::double / greatest(n, 1)) AS s1 FROM contexts
+), two AS (SELECT *, CASE WHEN w2 IS NULL THEN s1 WHEN f2 > 0 THEN log10(f2::double / c1) ELSE log10(0.4::double) + s1 END AS s2 FROM one
 ), scored AS (
-  SELECT doc_id, CASE WHEN f2 IS NULL THEN log10(f1::double / n) WHEN f2 >= 2 THEN log10(f2::double / c1) ELSE log10(0.4::double) + log10(f1::double / n) END AS s FROM contexts
+  SELECT doc_id, CASE WHEN w1 IS NULL THEN s2 WHEN f3 > 0 THEN log10(f3::double / c2) ELSE log10(0.4::double) + s2 END AS s FROM two
 ), sums AS (SELECT doc_id, count(*) AS n_words, sum(s) AS total FROM scored GROUP BY doc_id)
 SELECT w.doc_id, coalesce(s.n_words, 0) AS n_words, round(coalesce(s.total, 0.0), 4) AS log10_score, round(s.total / s.n_words, 6) AS mean_log10
 FROM words w LEFT JOIN sums s ON s.doc_id = w.doc_id
