@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,66 +20,78 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, broadcast_if_small, materialise
 
-#: Elements without content, elements whose content is no text, elements that are no article text.
+#: Elements without content, elements whose content is no markup, elements that are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math object noembed noframes xmp canvas audio video".split()
-DROPPED = frozenset("nav footer aside form button select option dialog menu head label fieldset datalist".split())
-#: Elements that begin and end a block, those that part words, and those that a block's start closes.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+DROPPED = frozenset("nav footer aside form button select option dialog menu head label fieldset datalist noscript template svg math object canvas audio video".split()) | RAW
+#: Elements that begin and end a block, those that part words, and those whose end tags do not reach beyond a block.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody tfoot thead tr ul caption".split())
-PARTING = frozenset("br td th wbr img".split()) - {"wbr", "img"}
+PARTING = frozenset("br td th".split())
+PHRASE = frozenset("a abbr b big cite code del em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a text's own words rather than groups of blocks.
+TEXTUAL = frozenset("p li dd dt td th tr blockquote pre figcaption summary address".split()) | HEADING | PHRASE
 #: Elements whose class, id or role words don't count, since page-wide words stand there.
 PLAIN = frozenset("html body main article".split())
-#: Words of a class, id or role that mark what is no article text.
+#: Heads of names that mark what is no article text: on any element, and on groups only.
 UNWANTED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion banner banners cookie cookies consent gdpr notice notices notification alert alerts disclaimer "
-    "menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination toc toolbar topbar skip masthead sidebar sidebars aside widget widgets rail header footer foot copyright "
-    "comment comments commentlist reply replies respond discussion disqus form login signup signin register search newsletter subscribe subscription paywall share sharing social follow related recommended recommendations "
-    "popular trending teaser popup modal overlay hidden complementary contentinfo dialog".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos cookie cookies consent gdpr notice notices notification notifications banner banners "
+    "menu menus nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar sidebar sidebars aside widget widgets footer contentinfo complementary "
+    "comment comments commentlist replies disqus form login signup signin newsletter popup modal overlay hidden".split()
 )
+UNWANTED_GROUP = frozenset("alert alerts disclaimer topbar masthead skip rail foot toc copyright reply respond discussion register search subscribe subscription paywall share sharing social follow related recommended recommendations popular trending teaser teasers promotion promoted dialog".split())
+#: Words that name a shape or place and leave the word before them the head of a name.
+SHAPE = frozenset("area bar block body bottom box button buttons card cards column container content entry field group holder inner item items left link links list listing module new news outer panel post posts article articles stories right row section side slot space spot strip table text thread title top unit view wrap wrapper zone a b c x".split())
 #: Names that tell how an element looks or what it allows, and elements that name a page's own text.
 MODIFIER = re.compile(r"(?:has|with|no|is|without)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|on|off)", re.IGNORECASE)
 LANDMARK = frozenset("article main h1".split())
-#: Words of a class or id that name the wrapper of a text, and rounds in which marked elements are spared.
-WRAPPER = frozenset("article post entry story content main".split())
+#: Words of a class or id that name the wrapper of a text, and those of them that name one text; rounds in which marked elements are spared.
+WRAPPER, SINGLE = frozenset("article post entry story content main".split()), frozenset("article post entry story".split())
 MOST_ROUNDS = 20
 #: What a block credits to its container and to that one's container, and the bonus of elements that name an article.
 PARENT, GRANDPARENT, NAMED = 1.0, 0.5, 1.25
 #: A winning path that holds less than this share of the page's own best is not used.
 LEAST_SHARE = 0.25
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<odd>/?[A-Za-z][^<>]*)(?:>|(?=<)|\Z)",
-    re.DOTALL | re.IGNORECASE,
-)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)?))?)?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_ITEMS = frozenset("li dt dd tr option".split())
 
 
 @dataclass(slots=True)
 class Element:
+    """``last``: the greatest number inside; ``box``: the nearest block, itself included; ``kind``: equal for equal paths of a page."""
+
     tag: str
     step: str
     up: Element | None
-    unwanted: bool
-    in_header: bool
-    in_link: bool
     number: int
+    box: Element = None
+    last: int = 0
+    kind: int = 0
+    marked: bool = False
     hard: bool = False
-    soft: Element | None = None
     wrapper: bool = False
-    score: float = 0.0
-    _path: str | None = field(default=None)
+    in_header: bool = False
+    in_link: bool = False
+    in_heading: bool = False
+    in_single: bool = False
+    phrases: dict[str, int] = field(default_factory=dict)
 
     @property
     def path(self) -> str:
         """Generalised: classes sorted, digits replaced."""
-        if self._path is None:
-            self._path = f"{self.up.path}>{self.step}" if self.up else self.step
-        return self._path
+        steps, e = [], self
+        while e:
+            steps.append(e.step)
+            e = e.up
+        return ">".join(reversed(steps))
+
+    def holds(self, other: Element) -> bool:
+        return self.number <= other.number <= self.last
 
 
 @dataclass(slots=True)
@@ -87,154 +101,223 @@ class Block:
     linked: int
 
 
-def _element(tag: str, attrs: str, up: Element | None, number: int, spared: frozenset[int] = frozenset()) -> Element:
-    """``hard``: inside what is never text; ``soft``: the nearest element around or here that a name marks as unwanted."""
-    names: dict[str, str] = {}
-    if attrs:
-        for m in _NAMES.finditer(attrs):
-            names.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
-    classes = names.get("class", "")
-    hard, marked, wrapper = tag in DROPPED or bool(up and up.hard), False, tag in ("article", "main")
-    if not hard and names:
-        marks = [w for w in " ".join((classes, names.get("id", ""), names.get("role", ""))).split() if not MODIFIER.fullmatch(w)]
-        words = {w.lower() for m in marks for w in _WORD.findall(m)}
-        if tag in PLAIN:
-            marked = tag == "article" and bool(UNWANTED & {m.lower() for m in marks})
-        else:
-            marked = bool(UNWANTED & words)
-        wrapper = wrapper or tag not in PLAIN and bool(WRAPPER & words)
-        style = names.get("style", "").replace(" ", "").lower()
-        hard = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-    step = ".".join([tag, *sorted({_DIGITS.sub("N", c) for c in classes.split()})])
-    e = Element(tag, step, up, False, tag == "header" or bool(up and up.in_header), tag == "a" or bool(up and up.in_link), number, hard, up.soft if up else None, wrapper)
-    if marked and number not in spared:
-        e.soft = e
-    e.unwanted = hard or e.soft is not None
-    return e
+@dataclass(slots=True)
+class Page:
+    """The elements in page order, the texts with their elements (``None`` parts blocks), and the kinds by (kind above, step)."""
 
+    elements: list[Element]
+    texts: list[tuple[Element, str] | None]
+    kinds: dict[tuple[int, str], int]
 
-def blocks_of(page: str | None) -> list[Block]:
-    """Text blocks in page order, without those of unwanted elements.
 
-    An element that only its name marks is spared if it holds a heading h1, an article or a main, or
-    most of the text outside links, while no such element stands outside of marked ones.
+@lru_cache(4096)
+def _names(tag: str, classes: str, id_: str, role: str) -> tuple[str, bool, bool, bool, bool]:
+    """The element's step; whether its names mark it, name a header, a wrapper, a single text.
+
+    Only whole names count, by their heads: the last word that is no shape. ``ad-slot-3`` and
+    ``article-comments`` mark, ``ad-hoc`` and ``related-work`` do not.
     """
-    spared: frozenset[int] = frozenset()
-    for _ in range(MOST_ROUNDS):
-        out, more = _parsed(page, spared)
-        if not more:
+    step = ".".join([tag, *sorted({_DIGITS.sub("N", c).replace(">", "") for c in classes.split()})])
+    names = [w for w in f"{classes} {id_} {role}".split() if not MODIFIER.fullmatch(w)]
+    words = [[w.lower() for w in _WORD.findall(n) if not w.isdigit()] for n in names]
+    wrapper, single = (any((x in known for w in words for x in w)) for known in (WRAPPER, SINGLE))
+    if tag in PLAIN:
+        return step, tag == "article" and any(len(w) == 1 and w[0] in UNWANTED for w in words), False, tag in ("article", "main"), tag in ("article", "main")
+    heads = set()
+    for w in words:
+        while len(w) > 1 and w[-1] in SHAPE:
+            w = w[:-1]
+        heads.update(w[-1:])
+    unwanted = heads & UNWANTED or tag not in TEXTUAL and heads & UNWANTED_GROUP
+    return step, bool(unwanted), "header" in heads, wrapper, single
+
+
+def _element(tag: str, attrs: dict[str, str], up: Element | None, number: int) -> Element:
+    step, marked, header, wrapper, single = _names(tag, attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))
+    e = Element(tag, step, up, number, marked=marked, wrapper=wrapper)
+    e.box = e if tag in BLOCK or up is None else up.box
+    style = attrs["style"].replace(" ", "").lower() if "style" in attrs else ""
+    e.hard = tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    e.in_header, e.in_link, e.in_heading, e.in_single = tag == "header" or header, tag == "a", tag in HEADING, single
+    if up:
+        e.hard |= up.hard
+        e.in_header |= up.in_header
+        e.in_link |= up.in_link
+        e.in_heading |= up.in_heading
+        e.in_single |= up.in_single
+    return e
+
+
+class _Builder:
+    """The tree of a page: what is open, and what ends when something else begins."""
+
+    def __init__(self) -> None:
+        self.now = _element("#", {}, None, 0)
+        self.page = Page([self.now], [], {})
+        self.open: dict[str, int] = {}
+
+    def _leave(self, to: Element) -> None:
+        """Close everything inside ``to``."""
+        last = len(self.page.elements) - 1
+        while self.now is not to:
+            self.now.last = last
+            self.open[self.now.tag] -= 1
+            if self.now.tag in PHRASE:
+                self.now.box.phrases[self.now.tag] -= 1
+            self.now = self.now.up
+
+    def text(self, text: str) -> None:
+        if text:
+            self.page.texts.append((self.now, text))
+
+    def part(self, tag: str) -> None:
+        if tag in PARTING:
+            self.page.texts.append((self.now, " "))
+        elif tag in BLOCK:
+            self.page.texts.append(None)
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        self.part(tag)
+        if tag in BLOCK:  # an open paragraph ends where a block begins, and so do items and cells of the same kind
+            e = self.now.box
+            if e.up and (e.tag == "p" or e.tag in HEADING and tag in HEADING or e.tag == tag and tag in _ITEMS):
+                self._leave(e.up)
+        if tag in VOID:
+            return
+        up = self.now
+        e = _element(tag, attrs, up, len(self.page.elements))
+        e.kind = self.page.kinds.setdefault((up.kind, e.step), len(self.page.kinds) + 1)
+        self.page.elements.append(e)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in PHRASE:
+            e.box.phrases[tag] = e.box.phrases.get(tag, 0) + 1
+        self.now = e
+
+    def end(self, tag: str) -> None:
+        self.part(tag)
+        if not (self.now.box.phrases if tag in PHRASE else self.open).get(tag):
+            return
+        e = self.now
+        while e.tag != tag:
+            e = e.up
+        self._leave(e.up)
+
+
+def _attributes(page: str, at: int, stop: int) -> tuple[dict[str, str], int]:
+    """The attributes from ``at`` on and the place of the ``>`` that ends them, ``stop`` if there is none."""
+    attrs: dict[str, str] = {}
+    while at < stop and page[at] != ">":
+        m = _ATTRIBUTE.match(page, at, stop)
+        at = m.end()
+        if m[1]:
+            attrs.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
+    return attrs, at
+
+
+def parse(page: str) -> Page:
+    """One pass. A tag that never ends because a quote stays open ends at its first ``>``, as do all after it."""
+    b, at, seek, n, plain = _Builder(), 0, 0, len(page), False
+    raw_end: dict[str, re.Pattern] = {}
+    while (k := page.find("<", seek)) >= 0:
+        after = page[k + 1 : k + 2]
+        end = after == "/"
+        m = _NAME.match(page, k + 1 + end)
+        if not m and after not in ("!", "?"):
+            seek = k + 1  # a sign in the text
+            continue
+        b.text(page[at:k])
+        if not m:
+            close = "-->" if page.startswith("<!--", k) else ">"
+            stop = page.find(close, k + (2 if close == "-->" else 1))
+            at = seek = n if stop < 0 else stop + len(close)
+            continue
+        tag = m[0].lower()
+        stop = page.find(">", m.end()) if plain else n
+        attrs, stop = _attributes(page, m.end(), stop if stop >= 0 else n)
+        if stop == n and not plain:
+            plain = True
+            stop = page.find(">", m.end())
+            attrs, stop = _attributes(page, m.end(), stop) if stop >= 0 else ({}, n)
+        at = seek = min(n, stop + 1)
+        if stop == n:
             break
-        spared |= more
+        if end:
+            b.end(tag)
+            continue
+        b.start(tag, attrs)
+        if tag in RAW:
+            ends = raw_end.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE))
+            stop = ends.search(page, at)
+            at = seek = stop.start() if stop else n
+    b.text(page[at:])
+    b._leave(b.page.elements[0])  # noqa: SLF001
+    b.page.elements[0].last = len(b.page.elements) - 1
+    return b.page
+
+
+def _outermost(page: Page, spared: set[int]) -> list[int]:
+    """For each element the number of the outermost marked one around or at it that is not spared, else 0."""
+    out = [0]
+    for e in page.elements[1:]:
+        out.append(out[e.up.number] or (e.number if e.marked and e.number not in spared else 0))
     return out
 
 
-def _parsed(page: str | None, spared: frozenset[int]) -> tuple[list[Block], set[int]]:
-    """The blocks, and the outermost marked elements that are to be spared too.
+def _to_spare(page: Page, soft: list[int]) -> set[int]:
+    """Marked elements that hold a heading h1, an article or a main, or most of the text outside links.
 
-    Of a page's or an article's header only headings stay, and those only inside article or main.
+    None while such an element stands outside of marked ones.
     """
-    page = page or ""
+    landmarks = set()
+    for e in page.elements[1:]:
+        if e.tag in LANDMARK and not e.hard and not e.in_header:
+            if not soft[e.number]:
+                return set()
+            if soft[e.up.number]:
+                landmarks.add(soft[e.number])
+    held: dict[int, int] = {}
+    for e, text in filter(None, page.texts):
+        if not e.in_link and not e.hard:
+            held[soft[e.number]] = held.get(soft[e.number], 0) + len(text.strip())
+    total = sum(held.values())
+    return landmarks | {k for k, n in held.items() if k and 2 * n > total}
+
+
+def _wanted(e: Element, soft: list[int]) -> bool:
+    """Of a page's or an article's header only headings stay, and those only inside of what names a text."""
+    return not e.hard and not soft[e.number] and (not e.in_header or e.in_heading and e.in_single)
+
+
+def blocks_in(page: Page) -> list[Block]:
+    """Text blocks in page order, without those of unwanted elements."""
+    spared: set[int] = set()
+    for _ in range(MOST_ROUNDS):
+        soft = _outermost(page, spared)
+        more = _to_spare(page, soft)
+        if not more:
+            break
+        spared |= more
     out: list[Block] = []
-    now = root = _element("#", "", None, 0)
     parts: list[str] = []
-    linked = number = outside = 0
-    home = root
-    held: dict[int, int] = {}  # text of the outermost marked elements
-    landmarks: set[int] = set()
-    named_outside = False
-
-    def outermost(e: Element) -> int:
-        while e.soft.up and e.soft.up.soft:
-            e = e.soft.up
-        return e.soft.number
-
-    def close() -> None:
-        nonlocal linked
-        if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text:
+    home, linked = page.elements[0], 0
+    for item in [*page.texts, None]:
+        if item is None:
+            if parts and (text := _SPACE.sub(" ", "".join(parts)).strip()):
                 out.append(Block(home, text, linked))
-            parts.clear()
-        linked = 0
-
-    def block_home(e: Element) -> Element:
-        while e.up and e.tag not in BLOCK:
-            e = e.up
-        return e
-
-    def wanted(e: Element) -> bool:
-        if e.unwanted:
-            return False
-        if not e.in_header:
-            return True
-        tags = set()
-        while e:
-            tags.add(e.tag)
-            e = e.up
-        return bool(tags & HEADING) and bool(tags & {"article", "main"})
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not now.in_link and not now.hard:
-            n = len(page[at : m.start()].strip())
-            if now.soft:
-                k = outermost(now)
-                held[k] = held.get(k, 0) + n
-            else:
-                outside += n
-        if m.start() > at and wanted(now):
-            text = page[at : m.start()]
+            parts, linked = [], 0
+        elif _wanted(item[0], soft):
+            e, text = item
             if "&" in text:
                 text = html_lib.unescape(text)
             if not parts:
-                home = block_home(now)
+                home = e.box
             parts.append(text)
-            linked += len(text) if now.in_link else 0
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["odd"]:
-                tag, end, attrs = re.match(r"/?([A-Za-z][^\s/>]*)", m["odd"])[1].lower(), m["odd"][0] == "/", ""
-                if m.end() == len(page) and not m[0].endswith(">"):
-                    break
-            else:
-                continue
-        else:
-            end, attrs = bool(m["end"]), m["attrs"]
-        if tag in PARTING:
-            parts.append(" ") if parts else None
-            if tag == "br":
-                continue
-        if tag in BLOCK:
-            close()
-        if end:
-            e = now
-            while e.up and e.tag != tag:
-                e = e.up
-            if e.up:
-                now = e.up
-            continue
-        if tag in BLOCK:  # an open paragraph ends where a block begins, and so do items and cells of the same kind
-            e = now
-            while e.up and e.tag not in BLOCK:
-                e = e.up
-            if e.up and (e.tag == "p" or e.tag in HEADING and tag in HEADING or e.tag == tag and tag in ("li", "dt", "dd", "tr", "option")):
-                now = e.up
-        if tag not in VOID:
-            number += 1
-            now = _element(tag, attrs, now, number, spared)
-            if tag in LANDMARK and not now.hard and not now.in_header:
-                if not now.soft:
-                    named_outside = True
-                elif now.up.soft:
-                    landmarks.add(outermost(now))
-    if at < len(page) and wanted(now) and not page[at:].startswith("<"):
-        if not parts:
-            home = block_home(now)
-        parts.append(html_lib.unescape(page[at:]))
-    close()
-    total = outside + sum(held.values())
-    return out, set() if named_outside else landmarks | {k for k, n in held.items() if 2 * n > total}
+            linked += len(text) if e.in_link else 0
+    return out
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    return blocks_in(parse(page or ""))
 
 
 def best_container(blocks: list[Block]) -> Element | None:
@@ -242,25 +325,18 @@ def best_container(blocks: list[Block]) -> Element | None:
 
     A block that is an element of its own, such as a paragraph, credits the element around it.
     """
+    score: dict[int, float] = {}
     seen: dict[int, Element] = {}
     for b in blocks:
         worth = max(0, len(b.text) - 2 * b.linked)
-        box = b.home.up if b.home.up and b.home.tag in ("p", "li", "pre", "blockquote", "dd", "dt", "tr", "figcaption", *HEADING) else b.home
+        box = b.home.up if b.home.up and b.home.tag in TEXTUAL else b.home
         for share in (PARENT, GRANDPARENT, GRANDPARENT / 2):
-            if box is None or box.tag == "#" and box.up is None and share != PARENT:
+            if box is None or box.up is None and share != PARENT:
                 break
-            box.score += share * worth * (NAMED if box.tag in ("article", "main") else 1.0)
+            score[box.number] = score.get(box.number, 0.0) + share * worth * (NAMED if box.tag in ("article", "main") else 1.0)
             seen[box.number] = box
             box = box.up
-    return max(seen.values(), key=lambda e: (e.score, -e.number), default=None)
-
-
-def _inside(e: Element | None, holds) -> bool:  # noqa: ANN001
-    while e:
-        if holds(e):
-            return True
-        e = e.up
-    return False
+    return max(seen.values(), key=lambda e: (score[e.number], -e.number), default=None)
 
 
 def main_container(blocks: list[Block]) -> Element | None:
@@ -277,34 +353,53 @@ def main_container(blocks: list[Block]) -> Element | None:
         if e.tag == "article":
             break
         e = e.up
-    rest = [b for b in blocks if not _inside(b.home, lambda e: e is best)]
+    by_home = sorted(blocks, key=lambda b: b.home.number)
+    numbers = [b.home.number for b in by_home]
+    sums = [(0, 0, 0)]
+    for b in by_home:
+        h1 = b.home.tag == "h1"
+        sums.append((sums[-1][0] + len(b.text), sums[-1][1] + b.linked, sums[-1][2] + h1))
+    within = lambda e: [y - x for x, y in zip(sums[bisect_left(numbers, e.number)], sums[bisect_right(numbers, e.last)], strict=True)]
+    inner = within(best)
     for e in sorted(around, key=lambda e: ("article", "main").index(e.tag) if e.tag in ("article", "main") else 2):
-        added = [b for b in rest if _inside(b.home, lambda x, e=e: x is e)]
-        if added and (e.wrapper or any(_inside(b.home, lambda x: x.tag == "h1") for b in added)) and 2 * sum(b.linked for b in added) <= sum(len(b.text) for b in added):
+        chars, linked, h1 = (x - y for x, y in zip(within(e), inner, strict=True))
+        if chars and (e.wrapper or h1) and 2 * linked <= chars:
             return e
     return best
 
 
+def _on_path(page: Page, path: str) -> list[bool]:
+    """For each element whether it is or stands in a container on ``path``."""
+    first, *steps = path.split(">")
+    kind: int | None = 0 if first == "#" else None
+    for s in steps:
+        kind = None if kind is None else page.kinds.get((kind, s))
+    out = [kind == 0]
+    for e in page.elements[1:]:
+        out.append(out[e.up.number] or e.kind == kind)
+    return out
+
+
 def extract(page: str | None, path: str | None) -> str:
     """The blocks on ``path``, or in the page's own main container, joined by an empty line.
 
     Where the path's blocks are some of the own container's, the own ones stay; where they are others,
     the path is used if it holds LEAST_SHARE of the own text.
     """
-    blocks = blocks_of(page)
+    tree = parse(page or "")
+    blocks = blocks_in(tree)
     best = main_container(blocks)
     if best is None:
         return ""
-    own = [b.text for b in blocks if _inside(b.home, lambda e: e is best)]
-    if path and path != best.path:
-        on_path = [b for b in blocks if _inside(b.home, lambda e: e.path == path)]
-        by_path = [b.text for b in on_path]
-        inside = [_inside(b.home, lambda e: e is best) for b in on_path]
-        if (not any(inside) or sum(inside) == len(own)) and sum(map(len, by_path)) >= LEAST_SHARE * sum(map(len, own)):
-            own = by_path
-    elif path:
-        own = [b.text for b in blocks if _inside(b.home, lambda e: e.path == path)]
-    return "\n\n".join(own)
+    own = [best.holds(b.home) for b in blocks]
+    if path:
+        on = _on_path(tree, path)
+        on_path = [on[b.home.number] for b in blocks]
+        size = lambda chosen: sum(len(b.text) for b, c in zip(blocks, chosen, strict=True) if c)
+        both = [x and y for x, y in zip(own, on_path, strict=True)]
+        if path == best.path or (not any(both) or both == own) and size(on_path) >= LEAST_SHARE * size(own):
+            own = on_path
+    return "\n\n".join(b.text for b, c in zip(blocks, own, strict=True) if c)
 
 
 def _host(url: str | None) -> str:
