@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, materialise
+
 K, S = 6, 2
 #: Characters of scripts that are written without spaces are words; so are those of words of more characters than this.
 UNSPACED, LONG_WORD = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}", 32
-#: Documents that one bucket of the document order holds on average, and most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
+#: Documents that one bucket of the document order holds on average, and buckets into which one level of bounds parts another at most.
+BUCKET_ROWS, FANOUT = 2_000, 4_096
 
 
 def word_hashes(text: Column) -> Column:
@@ -72,18 +74,67 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select(id_col, F.size("__a").alias("n_anchors"), fingerprint_text(F.col("__a")).alias("fingerprint"))
 
 
-def _ordered(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``bucket``: 0 holds the largest ids, and so on down; null ids come last.
+def _part(cuts: Column, value: str, fan: int) -> Column:
+    """How many of the cuts the value is below; null values come last."""
+    above = F.size(F.filter(cuts, lambda c: F.col(value) < c))
+    return F.when(cuts.isNull(), 0).when(F.col(value).isNull(), fan + 1).otherwise(above).cast("bigint")
+
+
+def _parted(rows: DataFrame, value: str, fan: int, bounds: DataFrame, n_bounds: int) -> DataFrame:
+    """``rows`` with each bucket parted by its ``cuts``."""
+    both = rows.join(broadcast_if_small(bounds, n_bounds), "bucket", "left")
+    return both.withColumn("bucket", F.col("bucket") * (FANOUT + 2) + _part(F.col("cuts"), value, fan)).drop("cuts")
+
+
+def _cuts(rows: DataFrame, value: str, fan: int) -> DataFrame:
+    """``bucket, cuts``: the quantiles that part each bucket's values into ``fan`` equal shares."""
+    return rows.groupBy("bucket").agg(_quantiles(value, fan).alias("cuts"))
+
+
+def _quantiles(value: str, fan: int) -> Column:
+    return F.percentile_approx(value, [i / fan for i in range(1, fan)] or [0.5], 10 * FANOUT)
+
+
+def _ordered(rows: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """``rows`` with ``bucket``, which grows as the ids fall, null ids last; the levels that made the buckets.
 
-    The bounds are quantiles of the ids, so that any spread of ids fills the buckets evenly; rows
-    of one id share a bucket.
+    Each level parts all buckets by quantiles of their ids, so that any spread of ids fills them evenly
+    and their number follows the rows'. Rows of one id share a bucket; where they are many, it is
+    parted by their texts' first bytes. Only rows that are equal throughout can't be parted.
     """
-    n = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts = [] if buckets == 1 else docs.agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 10 * MOST_BUCKETS).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(id_col) < c)) if cuts else F.lit(0)
-    return docs.withColumn("bucket", F.when(F.col(id_col).isNull(), len(cuts) + 1).otherwise(above).cast("int"))
+    light = rows.select(id_col)
+    wanted = max(1, rows.count() // BUCKET_ROWS)
+    fan = min(FANOUT, wanted)
+    cuts = light.agg(_quantiles(id_col, fan)).first()[0] if fan > 1 else []
+    rows, light = (df.withColumn("bucket", _part(F.array(*map(F.lit, sorted(cuts or []))), id_col, fan)) for df in (rows, light))
+    wanted, levels, groups = -(-wanted // fan), 1, fan + 2
+    while wanted > 1:
+        fan = min(FANOUT, wanted)
+        bounds = materialise(_cuts(light, id_col, fan))
+        rows, light = (_parted(df, id_col, fan, bounds, groups * fan) for df in (rows, light))
+        wanted, levels, groups = -(-wanted // fan), levels + 1, groups * (fan + 2)
+    sizes = light.groupBy("bucket").agg(F.count("*").alias("n"), F.min(id_col).alias("a"), F.max(id_col).alias("b"))
+    heavy = materialise(sizes.where((F.col("n") > 2 * BUCKET_ROWS) & F.col("a").eqNullSafe(F.col("b"))).select("bucket", "n"))
+    n_heavy, most = heavy.agg(F.count("*"), F.max("n")).first()
+    if n_heavy:
+        fan = min(FANOUT, -(-most // BUCKET_ROWS))
+        rows = rows.withColumn("begin", F.conv(F.rpad(F.hex(F.substring(F.encode("t", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint"))
+        bounds = materialise(_cuts(rows.join(broadcast_if_small(heavy, n_heavy), "bucket"), "begin", fan))
+        rows, levels = _parted(rows, "begin", fan, bounds, n_heavy * fan).drop("begin"), levels + 1
+    return rows, levels
+
+
+def _successors(keys: DataFrame, levels: int) -> DataFrame:
+    """``bucket, next``: the following bucket of each one, the first after the last; no window has more rows than a level has parts."""
+    if levels <= 1:
+        w = Window.orderBy("bucket")
+        return keys.select("bucket", F.coalesce(F.lead("bucket").over(w), F.min("bucket").over(Window.partitionBy())).alias("next"))
+    up = F.floor(F.col("bucket") / (FANOUT + 2)).cast("bigint")
+    keys = keys.withColumn("up", up)
+    firsts = keys.groupBy("up").agg(F.min("bucket").alias("first"))
+    beyond = _successors(firsts.select(F.col("up").alias("bucket")), levels - 1).join(firsts.withColumnRenamed("up", "next"), "next").select(F.col("bucket").alias("up"), "first")
+    inside = keys.withColumn("next", F.lead("bucket").over(Window.partitionBy("up").orderBy("bucket")))
+    return inside.join(beyond, "up").select("bucket", F.coalesce("next", "first").alias("next"))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,15 +149,13 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``
     and the positional likenesses ``edited_positions, next_positions``.
     """
-    rows = _ordered(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")), id_col)
+    rows, levels = _ordered(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")), id_col)
     order = [F.col(id_col).desc_nulls_last(), F.col("t").desc()]
     in_bucket = Window.partitionBy("bucket").orderBy(*order)
-    # The first row of each bucket: at most MOST_BUCKETS + 1 rows.
-    tops = rows.groupBy("bucket").agg(F.max(id_col).alias("top"))
-    firsts = rows.join(F.broadcast(tops), "bucket").where(F.col(id_col).eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.max("t").alias("t"))
-    around = Window.orderBy("bucket")
-    heads = with_anchors(firsts, F.col("t"), "a")
-    heads = heads.select("bucket", *(F.coalesce(F.lead(c).over(around), F.first(c).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias(f"head_{c}") for c in ("t", "a")))
+    tops = materialise(rows.groupBy("bucket").agg(F.max(id_col).alias("top")))
+    after = _successors(tops.select("bucket"), levels).select(F.col("bucket").alias("before"), F.col("next").alias("bucket"))
+    firsts = rows.join(broadcast_if_small(tops, tops.count()), "bucket").where(F.col(id_col).eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.max("t").alias("t"))
+    heads = with_anchors(firsts, F.col("t"), "a").join(after, "bucket").select(F.col("before").alias("bucket"), F.col("t").alias("head_t"), F.col("a").alias("head_a"))
     rows = with_anchors(rows, F.col("t"), "a")
     rows = rows.withColumns({"next_t": F.lead("t").over(in_bucket), "next_a": F.lead("a").over(in_bucket)})
     # Both sides are dealt by bucket already; a head may be a long text, so it isn't broadcast.

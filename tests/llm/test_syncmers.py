@@ -85,3 +85,108 @@ def test_short_and_unspaced_texts(docs_of):
     letters = ["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(400)) for _ in range(3)] + ["".join(r.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(3)]
     for x in S.compare_edited(docs_of(list(enumerate(letters)))).collect():
         assert 0.35 < x["near_edited"] < 0.65 and x["near_next"] < 0.02
+
+
+# Brute force ------------------------------------------------------------------------------------------------
+
+MASK = (1 << 64) - 1
+
+
+def long_hash(values):
+    """XXH64 of each value's eight bytes, the last hash as seed."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<Q", v & MASK), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def short_hash(values):
+    """Murmur3 of 32 bits over the halves of each value."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    h = 42
+    for v in values:
+        v &= MASK
+        for half in (v & m, v >> 32):
+            k = rot(half * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+            h = (rot(h ^ k, 13) * 5 + 0xE6546B64) & m
+        h ^= 8
+        h = (h ^ (h >> 16)) * 0x85EBCA6B & m
+        h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
+        h ^= h >> 16
+    return h
+
+
+def brute_anchors(text):
+    """Every run of K words is looked at; equal to the operator's by definition, not by its plan."""
+    import regex
+    import xxhash
+
+    words = []
+    for w in regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[^\x20\x09-\x0D\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+", text or ""):
+        words += list(w) if len(w) > S.LONG_WORD else [w]
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    if len(h) < S.K:
+        return [short_array(h)] if h else []
+    runs = [h[i : i + S.K] for i in range(len(h) - S.K + 1)]
+    picked = []
+    for run in runs:
+        inner = [long_hash(run[i : i + S.S]) for i in range(S.K - S.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            picked.append(short_hash(run))
+    signed = lambda x: x - (1 << 32) if x >> 31 else x
+    return picked or [min((short_hash(r) for r in runs), key=signed)]
+
+
+def short_array(values):
+    return short_hash(values)
+
+
+def brute_rows(rows):
+    order = sorted(rows, key=lambda r: (r[0], r[1] or ""), reverse=True)
+    out = {}
+    likeness = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    hexed = lambda a: "".join(f"{x:08x}" for x in a)
+    anchors = [brute_anchors(t) for _, t in order]
+    for i, (k, t) in enumerate(order):
+        j = (i + 1) % len(order)
+        t, nxt = t or "", order[j][1] or ""
+        m = len(t) // 3
+        e = t[: len(t) - m] + nxt[:m]
+        ea = brute_anchors(e)
+        out[k] = (len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(anchors[i]), hexed(ea), likeness(anchors[i], ea), likeness(anchors[i], anchors[j]))
+    return out
+
+
+COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    from chunklake.llm.queries import QUERIES
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in QUERIES["op7_syncmers"](spark, sf_dir).collect()}
+    assert got == brute_rows(docs)
+
+
+def test_brute_force_on_odd_texts(docs_of):
+    r = random.Random(12)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "x" * 50), (6, "漢字かな" * 20), (7, "a b c d e f"), (8, "la " * 400), (9, "la " * 400), (10, "word " * 30_000)]
+    rows += [(20 + k, " ".join(r.choice("abcdefg") for _ in range(r.randint(0, 60)))) for k in range(40)]
+    got = {x["doc_id"]: tuple(x[c] for c in COLUMNS) for x in S.compare_edited(docs_of(rows)).collect()}
+    assert got == brute_rows(rows)
+
+
+def test_many_levels_and_hot_ids(docs_of, monkeypatch):
+    """Three levels of bounds; a third of the rows have no id and a third one id."""
+    monkeypatch.setattr(S, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(S, "FANOUT", 4)
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 12)))
+    check(docs_of, [(r.randint(-(10**9), 10**9), text()) for _ in range(150)])
+    check(docs_of, [(k * k, text()) for k in range(60)] + [(None, text()) for _ in range(60)] + [(77, text()) for _ in range(60)])
+    check(docs_of, [(5, "same")] * 40 + [(None, None)] * 3)
