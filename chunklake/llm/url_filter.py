@@ -14,12 +14,14 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialise
 
 #: Keys that a block of 256 bits holds on average (16 bits a key, about 0.3 % false positives).
 KEYS_PER_BLOCK = 16
 #: A filter of so many blocks (32 bytes of words each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_BLOCKS = 131_072
+#: Keys over which rows without a possible partner are spread.
+SPREAD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -95,21 +97,20 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col:
     or malformed URL have empty host and path and are allowed; repeated pages keep their rows; an
     empty list allows all; other columns of either table are not looked at, so names can't clash.
     """
-    keys = listed.select(canonical_url(F.col(listed_col)).alias("key")).where(F.col("key").isNotNull()).distinct()
+    keys = materialise(listed.select(canonical_url(F.col(listed_col)).alias("key")).where(F.col("key").isNotNull()).distinct())
     blocks = max(1, -(-keys.count() // KEYS_PER_BLOCK))
     bloom = bloom_blocks(keys, "key", blocks)
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), canonical_url(url).alias("key"))
+    rows = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), canonical_url(url).alias("key"), F.pmod(F.xxhash64(F.col(id_col), url), F.lit(SPREAD)).alias("salt"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "action": action, "block": F.coalesce(_block(F.col("key"), blocks), F.lit(0))})
+    # Rows that can have no partner are spread over keys that don't exist, so that no task gets them all.
+    rows = rows.withColumns({"rule": rule, "action": action, "block": F.coalesce(_block(F.col("key"), blocks), -1 - F.col("salt"))})
     probed = rows.join(F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom, "block", "left")
     for i, m in enumerate(_masks(F.col("key"))):
         probed = probed.withColumn(f"m{i}", m)
-    possible = reduce(and_, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(4)))
-    probed = probed.select(id_col, "host", "path", "key", "rule", "action", (F.coalesce(possible, F.lit(False)) & F.col("key").isNotNull()).alias("possible"))
-    hits = probed.where("possible").join(keys.withColumn("listed", F.lit(True)), "key", "left")
-    rest = probed.where("not possible").withColumn("listed", F.lit(False))
-    both = hits.unionByName(rest)
+    possible = F.coalesce(reduce(and_, (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}") for i in range(4))), F.lit(False)) & F.col("key").isNotNull()
+    probed = probed.select(id_col, "host", "path", "rule", "action", F.when(possible, F.col("key")).alias("key"), F.when(possible, 0).otherwise(F.col("salt")).alias("salt"))
+    both = probed.join(keys.select("key", F.lit(0).alias("salt"), F.lit(True).alias("listed")), ["key", "salt"], "left")
     listed_now = F.coalesce(F.col("listed"), F.lit(False))
     verdict = F.coalesce(F.col("action"), F.when(listed_now, "block").otherwise("allow"))
     return both.select(id_col, "host", "path", "rule", verdict.alias("verdict"), listed_now.alias("listed"))
