@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,46 +110,63 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def severity_grades(rows: list[list[int]], toxic: np.ndarray, marks: set[int]) -> np.ndarray:
-    """Grades from yes-or-no labels: 0; 1 for toxic rows; 2 for toxic rows with more marks than the median one.
-
-    ``marks`` are the features that stand more often in toxic rows.
-    """
+    """Grades from yes-or-no labels: 0; 1 for toxic rows; 2 for toxic rows with more marks than the median one."""
     n = np.array([len(marks.intersection(r)) for r in rows])
     cut = np.median(n[toxic > 0]) if (toxic > 0).any() else 0
     return np.where(toxic > 0, 1 + (n > cut), 0)
 
 
+def _gap(n: Column, hit: Column, rows: int, high: int) -> tuple[Column, Column]:
+    """How much oftener a feature stands in rows above grade 0, and that in standard errors."""
+    if not 0 < high < rows:
+        return F.lit(0.0), F.lit(0.0)
+    share, gap = n / rows, hit / high - (n - hit) / (rows - high)
+    return gap, F.coalesce(F.abs(gap / F.sqrt(share * (1 - share) * (1 / high + 1 / (rows - high)))), F.lit(0.0))
+
+
 def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> OrdinalModel:
     """Fit on ``graded`` (id, ``grade``) joined to ``docs``; no graded row above 0: a model that finds nothing.
 
-    Grades of 0 and 1 alone are labels without degrees; toxic rows are then graded by :func:`severity_grades`.
-
     The driver gets at most ``features`` features and, for at most ``sample_rows`` texts, which of
     them they have. Of repeated labels the highest grade holds; null grades, labels without a
-    document and documents without a label don't count; a document that stands twice counts twice.
+    document and documents without a label don't count; rows that share an id are one text with the
+    features of all.
+
+    Labels of 0 and 1 alone have no degrees. The toxic rows of each half of the sample are then graded
+    by :func:`severity_grades` with the marks that the other half has found: features that stand in its
+    toxic rows oftener, by LEAST_Z standard errors. So no row's grade hangs on its own label's marks.
     """
     labels = graded.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
     chosen = F.broadcast(labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
     rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", F.col("__grade").cast("int").alias("__grade"), text_col)
     rows = materialise(rows.mapInArrow(_features, f"__id {graded.schema[id_col].dataType.simpleString()}, __grade int, words array<string>"))
-    sizes = dict(rows.groupBy("__grade").count().collect())
-    n, high = sum(sizes.values()), sum(v for k, v in sizes.items() if k > 0)
+    half = (F.xxhash64(F.lit("half"), "__id").bitwiseAND(1)).alias("half")
+    sizes = {(r["half"], r["__grade"]): r["count"] for r in rows.groupBy(half, "__grade").count().collect()}
+    size = lambda h, least: sum(n for (k, g), n in sizes.items() if k in h and g >= least)
+    n, high = size((0, 1), 0), size((0, 1), 1)
     if not high or high == n:
         return OrdinalModel({}, (50.0 if not high else -50.0,))
-    counts = rows.select((F.col("__grade") > 0).cast("int").alias("hit"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("hit").alias("hit"))
-    share = F.col("n") / n
-    spread = F.sqrt(share * (1 - share) * (1 / high + 1 / (n - high)))
-    gap = F.col("hit") / high - (F.col("n") - F.col("hit")) / (n - high)
-    best = counts.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n)).withColumn("z", F.abs(gap / spread)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(features).select("word", (gap > 0).alias("mark")).collect()
+    counts = rows.select((F.col("__grade") > 0).cast("int").alias("hit"), half, F.explode("words").alias("word")).groupBy("word")
+    counts = counts.agg(F.count("*").alias("n"), F.sum("hit").alias("hit"), F.sum("half").alias("n1"), F.sum(F.col("hit") * F.col("half")).alias("hit1"))
+    _, z = _gap(F.col("n"), F.col("hit"), n, high)
+    marks = []
+    for h, (n_h, hit_h) in enumerate(((F.col("n") - F.col("n1"), F.col("hit") - F.col("hit1")), (F.col("n1"), F.col("hit1")))):
+        gap_h, z_h = _gap(n_h, hit_h, size((h,), 0), size((h,), 1))
+        marks.append(((gap_h > 0) & (z_h >= LEAST_Z)).alias(f"mark{h}"))
+    best = counts.withColumn("z", z).where((F.col("n") >= LEAST_ROWS) & (F.col("n") < n) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "word").limit(features).select("word", *marks).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(best)}
     if not vocabulary:
         return OrdinalModel({}, (math.log((n - high) / high),))
     known = F.broadcast(docs.sparkSession.createDataFrame(list(vocabulary.items()), "word string, at int"))
-    marked = rows.select("__id", "__grade", F.explode_outer("words").alias("word")).join(known, "word", "left").groupBy("__id", "__grade").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    marked = rows.select("__id", "__grade", F.explode_outer("words").alias("word")).join(known, "word", "left").groupBy("__id", "__grade", half).agg(F.sort_array(F.collect_set("at")).alias("at"))
     sample = marked.orderBy("__id").collect()
     present, grades = [list(r["at"]) for r in sample], np.array([r["__grade"] for r in sample])
     if grades.max() == 1:
-        grades = severity_grades(present, grades, {i for i, r in enumerate(best) if r["mark"]})
+        halves = np.array([r["half"] for r in sample])
+        for h in (0, 1):
+            of = np.nonzero(halves == h)[0]
+            other = {i for i, r in enumerate(best) if r[f"mark{1 - h}"]}
+            grades[of] = severity_grades([present[i] for i in of], grades[of], other)
     beta, theta = fit_ordinal(present, grades, len(vocabulary))
     return OrdinalModel({w: float(beta[i]) for w, i in vocabulary.items()}, tuple(map(float, theta)))
 
@@ -161,10 +177,15 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", severity
     Whole texts are read; a null or empty text has no word and gets the model's base rates.
     """
 
-    @F.pandas_udf("severity double, p_toxic double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        tails = [model.at_least(t) for t in texts]
-        return pd.DataFrame({"severity": [sum(t) for t in tails], "p_toxic": [t[0] for t in tails]})
+    @F.arrow_udf("severity double, p_toxic double")
+    def judge(texts: pa.Array) -> pa.Array:
+        severity, p = [], []
+        for at in range(0, len(texts), FEATURE_ROWS):  # a few at a time, so that texts are not held twice
+            for t in texts.slice(at, FEATURE_ROWS).to_pylist():
+                tails = model.at_least(t)
+                severity.append(sum(tails))
+                p.append(tails[0])
+        return pa.StructArray.from_arrays([pa.array(severity, pa.float64()), pa.array(p, pa.float64())], ["severity", "p_toxic"])
 
     made = fresh(docs, "judged")
     return docs.withColumn(made, judge(text_col)).withColumns({severity: F.col(f"{made}.severity"), p_toxic: F.col(f"{made}.p_toxic")}).drop(made)

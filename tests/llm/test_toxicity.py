@@ -68,3 +68,98 @@ def test_query_finds_labelled_documents(spark):
     out = QUERIES["op8_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("toxic", "label"), "doc_id")
     n, right = out.count(), out.where(F.col("toxic") == (F.col("label") == 1)).count()
     assert right / n > 0.93
+
+
+def likelihood(beta, theta, rows, grades, ridge):
+    """Penalised log-likelihood of the cumulative-link model, a row at a time."""
+    import math
+
+    total = -ridge / 2 * sum(b * b for b in beta)
+    for x, g in zip(rows, grades, strict=True):
+        score = sum(beta[f] for f in x)
+        tails = [1.0, *(1 / (1 + math.exp(t - score)) for t in theta), 0.0]
+        total += math.log(tails[g] - tails[g + 1])
+    return total
+
+
+def test_fit_is_the_optimum():
+    """No small step of any weight or threshold gains likelihood."""
+    r = np.random.default_rng(7)
+    rows = [sorted(set(r.integers(0, 5, r.integers(0, 4)).tolist())) for _ in range(400)]
+    grades = [int(g) for g in np.clip([(0 in x) + (1 in x) + r.integers(0, 2) - (2 in x) for x in rows], 0, 3)]
+    beta, theta = T.fit_ordinal(rows, np.array(grades), 5)
+    best = likelihood(beta, theta, rows, grades, T.RIDGE)
+    for k in range(5 + len(theta)):
+        for step in (0.02, -0.02):
+            moved = np.concatenate((beta, theta))
+            moved[k] += step
+            assert likelihood(moved[:5], moved[5:], rows, grades, T.RIDGE) < best + 1e-3
+
+
+def standard_errors(f, sample):
+    """How many standard errors a feature stands oftener in toxic rows."""
+    n, high, with_f, hit = len(sample), sum(g > 0 for _, _, g in sample), sum(f in x for _, x, _ in sample), sum(f in x and g > 0 for _, x, g in sample)
+    share = with_f / n
+    spread = (share * (1 - share) * (1 / high + 1 / (n - high))) ** 0.5
+    return (hit / high - (with_f - hit) / (n - high)) / spread if spread else 0.0
+
+
+def brute_model(rows, labels, half_of):
+    """Features chosen, toxic rows graded and weights fitted by plain loops over all labelled texts."""
+    import re
+
+    def features(text):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        return words | {w[:k] + "*" for w in words for k in (3, 4, 5, 6) if len(w) > k}
+
+    grade = dict(labels)
+    sample = [(k, features(t), grade[k]) for k, t in sorted(rows) if k in grade]
+    n = len(sample)
+    chosen = sorted((-abs(z), f) for f in set().union(*(x for _, x, _ in sample)) if T.LEAST_ROWS <= sum(f in x for _, x, _ in sample) < n and abs(z := standard_errors(f, sample)) >= T.LEAST_Z)
+    names = [f for _, f in chosen][: T.FEATURES]
+    final = {}
+    for h in (0, 1):
+        own, other = ([s for s in sample if half_of[s[0]] == k] for k in (h, 1 - h))
+        marks = {f for f in names if standard_errors(f, other) >= T.LEAST_Z}
+        cut = np.median([len(marks & x) for _, x, g in own if g])
+        final |= {k: g and 1 + int(len(marks & x) > cut) for k, x, g in own}
+    beta, theta = T.fit_ordinal([[i for i, f in enumerate(names) if f in x] for _, x, _ in sample], np.array([final[k] for k, _, _ in sample]), len(names))
+    weight = dict(zip(names, beta, strict=True))
+    return lambda t: sum(1 / (1 + np.exp(th - sum(weight.get(f, 0.0) for f in features(t)))) for th in theta), final
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Features, grades, fit and severities of every document, from the tables alone."""
+    from chunklake.llm.queries import QUERIES
+
+    docs, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    labels = [(r["doc_id"], r["toxic"]) for r in table.collect()]
+    half = {r["doc_id"]: r["h"] for r in table.select("doc_id", F.xxhash64(F.lit("half"), "doc_id").bitwiseAND(1).alias("h")).collect()}
+    severity, grades = brute_model(rows, labels, half)
+    got = {r["doc_id"]: r for r in QUERIES["op8_toxicity"](spark, sf_dir).collect()}
+    assert len(got) == len(rows) and set(grades.values()) >= {0, 1}
+    for k, t in rows:
+        assert got[k]["severity"] == pytest.approx(severity(t), abs=1e-3)
+
+
+def test_held_out_half_of_the_fixture(spark):
+    """Fitted on half of the labels, judged on the other half."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = T.train(docs, labels.where(half).select("doc_id", F.col("toxic").alias("grade")))
+    assert len(model.thresholds) == 2
+    out = T.score(docs, model).join(labels.where(~half), "doc_id").select("toxic", (F.col("severity") >= T.TOXIC_FROM).alias("found"))
+    n = {(r["toxic"], r["found"]): r["count"] for r in out.groupBy("toxic", "found").count().collect()}
+    print(n)
+    assert n.get((1, False), 0) <= 0.15 * (n.get((1, False), 0) + n[1, True]) and n.get((0, True), 0) <= 0.01 * n[0, False]
+
+
+def test_repeated_and_null_rows(spark, docs_of):
+    """Rows of one id are one text in the fit; every row is scored."""
+    rows, labels = corpus(200)
+    graded = spark.createDataFrame([*labels, *labels, (None, 2), (7, None)], "doc_id bigint, grade int")
+    once, twice = (T.train(docs_of(r, extra=True), graded) for r in (rows, rows + rows))
+    assert once.thresholds == pytest.approx(twice.thresholds, abs=0.5) and once.weights.keys() & twice.weights.keys()
+    assert T.score(docs_of([*rows, *rows, (None, None)], extra=True), twice).count() == 401
