@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ WINDOW = 3
 SENTENCE_END, LONG_UNIT_WORDS = r"(?<=[.!?][ ])|(?<=[。！？])", 50
 #: A unit's position is that of its line times this, and its ordinal in the line.
 LINE_STEP = 1 << 32
+#: Texts that are cut apart in Python at once.
+ROWS_AT_ONCE = 200
 
 
 def _lines(text: Column) -> Column:
@@ -109,6 +112,13 @@ def _without(text: str | None, gone: list[int] | None) -> str | None:
     return "\n".join(out)
 
 
+def _all_without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for at in range(0, len(texts), ROWS_AT_ONCE):
+        out += map(_without, texts.slice(at, ROWS_AT_ONCE).to_pylist(), gone.slice(at, ROWS_AT_ONCE).to_pylist())
+    return pa.array(out, pa.string())
+
+
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
     """As ``dedup_lines``, by units; ``count_col`` counts these. A line goes if nothing but spaces is left of it."""
     id_, gone_ = fresh(docs, "id"), fresh(docs, "gone")
@@ -117,5 +127,5 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = w.join(repeated, ["h1", "h2"]).where(F.struct("id", "at") != F.col("first"))
     gone = later.groupBy(F.col("id").alias(id_)).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias(gone_))
     both = docs.join(gone, F.col(id_col) == F.col(id_), "left")
-    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.udf(_without, "string")(text_col, gone_))
+    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.arrow_udf(_all_without, "string")(text_col, gone_))
     return both.withColumns({text_col: text, count_col: F.coalesce(F.size(gone_), F.lit(0))}).drop(id_, gone_)

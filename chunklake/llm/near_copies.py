@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, tidy
 from .graph import connected_components
 from .lm_score import gram_hashes, tokens
 from .simhash_dedup import Forest
@@ -99,7 +99,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the least text. Rows with a null id stay.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketches, "doc_id bigint, same binary, keys array<bigint>"))
+    sketches = materialise(rows.mapInArrow(tidy(_sketches), "doc_id bigint, same binary, keys array<bigint>"))
     reps = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -110,6 +110,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = reps.select("same", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
     id_, rn = fresh(docs, "gone"), fresh(docs, "rn")
     gone = sketches.select("doc_id", "same").join(whole.hint("merge"), "same").where("doc_id <> root").select(F.col("doc_id").alias(id_)).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.spark_partition_id()))  # rows without an id share no window
+    first = F.row_number().over(Window.partitionBy(id_col, spread).orderBy(text_col))
     left = docs.join(gone, F.col(id_col) == F.col(id_), "left_anti").withColumn(rn, first)
     return left.where((F.col(rn) == 1) | F.col(id_col).isNull()).drop(rn)

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACE = "▁"
 #: Code points that one suffix array indexes, texts that are worked on at once, segments that a worker remembers.
 INDEX_CHARS, BATCH_CHARS, REMEMBERED = 200_000, 2_000_000, 400_000
@@ -309,8 +310,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 if decoded:
                     out[decoded] = pa.array([codec.decode(np.frombuffer(x, np.int32)) for x in got], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
+        codec.seen.clear()
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, token_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
+    return docs.select(id_col, text_col).mapInArrow(tidy(work), f"`{id_col}` {kind}, token_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(tokens: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -320,10 +322,10 @@ def decode(tokens: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out_co
     """
     shared = tokens.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf("string")
-    def text_of(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text_of(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = shared.value.codec
-        for s in ids:
-            yield s.map(lambda x: None if x is None else codec.decode(np.asarray(x, np.int64)))
+        for rows in ids:
+            yield pa.array([None if x is None else codec.decode(np.asarray(x, np.int64)) for x in rows.to_pylist()], pa.string())
 
     return tokens.withColumn(out_col, text_of(ids_col))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, fresh, materialise
+from .common import ASCII_LOWER, ASCII_UPPER, fresh, materialise, tidy
 from .graph import connected_components
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -54,7 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a long), a row for each row of ``docs``."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_fingerprints), "doc_id bigint, fp bigint")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def tile_links(distinct: DataFrame, tile: int = TILE, radius: int = RADIUS) -> D
     second = second.where(~same | (F.col("part2") < F.col("part"))).select(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"), F.col("part2").alias("part"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("part").alias("part2"), F.lit(1).alias("side"), "fps")
     pairs = first.unionByName(second).groupBy(*own, "hi2", "lo2", "part2").agg(F.array_sort(F.collect_list(F.struct("side", "fps")))["fps"].alias("tiles"))
     alone = same & (F.col("part") == F.col("part2"))  # else its partner has no rows
-    return pairs.where(alone | (F.size("tiles") == 2)).select("tiles").mapInArrow(_compare, "u bigint, v bigint")
+    return pairs.where(alone | (F.size("tiles") == 2)).select("tiles").mapInArrow(tidy(_compare), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

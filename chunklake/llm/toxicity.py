@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, tidy
 
 #: At most so many labelled rows are fitted, those with the least hash of their id; features that enter.
 SAMPLE_ROWS, FEATURES = 20_000, 2_048
@@ -139,7 +139,7 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     labels = graded.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
     chosen = F.broadcast(labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
     rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", F.col("__grade").cast("int").alias("__grade"), text_col)
-    rows = materialise(rows.mapInArrow(_features, f"__id {graded.schema[id_col].dataType.simpleString()}, __grade int, words array<string>"))
+    rows = materialise(rows.mapInArrow(tidy(_features), f"__id {graded.schema[id_col].dataType.simpleString()}, __grade int, words array<string>"))
     half = (F.xxhash64(F.lit("half"), "__id").bitwiseAND(1)).alias("half")
     sizes = {(r["half"], r["__grade"]): r["count"] for r in rows.groupBy(half, "__grade").count().collect()}
     size = lambda h, least: sum(n for (k, g), n in sizes.items() if k in h and g >= least)
@@ -177,15 +177,19 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", severity
     Whole texts are read; a null or empty text has no word and gets the model's base rates.
     """
 
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            severity, p = [], []
+            for at in range(0, len(texts), FEATURE_ROWS):  # a few at a time, so that texts are not held twice
+                for t in texts.slice(at, FEATURE_ROWS).to_pylist():
+                    tails = model.at_least(t)
+                    severity.append(sum(tails))
+                    p.append(tails[0])
+            yield pa.StructArray.from_arrays([pa.array(severity, pa.float64()), pa.array(p, pa.float64())], ["severity", "p_toxic"])
+
     @F.arrow_udf("severity double, p_toxic double")
-    def judge(texts: pa.Array) -> pa.Array:
-        severity, p = [], []
-        for at in range(0, len(texts), FEATURE_ROWS):  # a few at a time, so that texts are not held twice
-            for t in texts.slice(at, FEATURE_ROWS).to_pylist():
-                tails = model.at_least(t)
-                severity.append(sum(tails))
-                p.append(tails[0])
-        return pa.StructArray.from_arrays([pa.array(severity, pa.float64()), pa.array(p, pa.float64())], ["severity", "p_toxic"])
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(judged)(texts)
 
     made = fresh(docs, "judged")
     return docs.withColumn(made, judge(text_col)).withColumns({severity: F.col(f"{made}.severity"), p_toxic: F.col(f"{made}.p_toxic")}).drop(made)
