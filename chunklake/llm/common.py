@@ -16,6 +16,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 #: A table of at most so many rows of a few fixed-width columns may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows with whole texts that cross to Python at once.
+TEXT_ROWS = 1_000
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -33,6 +35,14 @@ def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def for_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session from now on hands Python at most TEXT_ROWS rows at once, whole texts being long."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return docs
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

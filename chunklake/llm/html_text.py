@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, broadcast_if_small, materialise
+from .common import ASCII_LOWER, ASCII_UPPER, broadcast_if_small, for_texts, materialise
 
 #: Elements without content, elements whose content is no markup, elements that are no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -420,7 +420,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host, path, votes``: the winner of each host's vote; of equal counts the least path."""
-    votes = pages.select(url_col, html_col).mapInArrow(_votes, "host string, path string, votes bigint")
+    votes = for_texts(pages).select(url_col, html_col).mapInArrow(_votes, "host string, path string, votes bigint")
     sums = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = sums.groupBy("host").agg(F.min_by(F.struct("path", "votes"), F.struct(-F.col("votes"), "path")).alias("b"))
     return best.select("host", "b.path", "b.votes")

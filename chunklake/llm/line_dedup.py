@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import for_texts, fresh
 
 WINDOW = 3
 #: Where a line is cut into units, and words from which a unit is a window of its own.
@@ -126,6 +126,6 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1").drop("n")
     later = w.join(repeated, ["h1", "h2"]).where(F.struct("id", "at") != F.col("first"))
     gone = later.groupBy(F.col("id").alias(id_)).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias(gone_))
-    both = docs.join(gone, F.col(id_col) == F.col(id_), "left")
+    both = for_texts(docs).join(gone, F.col(id_col) == F.col(id_), "left")
     text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.arrow_udf(_all_without, "string")(text_col, gone_))
     return both.withColumns({text_col: text, count_col: F.coalesce(F.size(gone_), F.lit(0))}).drop(id_, gone_)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, tidy
+from .common import for_texts, fresh, materialise, tidy
 from .graph import connected_components
 from .lm_score import gram_hashes, tokens
 from .simhash_dedup import Forest
@@ -98,7 +98,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and wordless texts are copies of each other. Of rows that repeat an id one stays, that with
     the least text. Rows with a null id stay.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = for_texts(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = materialise(rows.mapInArrow(tidy(_sketches), "doc_id bigint, same binary, keys array<bigint>"))
     reps = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     keyed = reps.select("rep", F.explode("keys").alias("key"))

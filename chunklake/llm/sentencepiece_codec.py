@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import for_texts, tidy
 
 SPACE = "▁"
 #: Code points that one suffix array indexes, texts that are worked on at once, segments that a worker remembers.
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_pydict(out)
         codec.seen.clear()
 
-    return docs.select(id_col, text_col).mapInArrow(tidy(work), f"`{id_col}` {kind}, token_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
+    return for_texts(docs).select(id_col, text_col).mapInArrow(tidy(work), f"`{id_col}` {kind}, token_ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(tokens: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, fresh, materialise, tidy
+from .common import ASCII_LOWER, ASCII_UPPER, for_texts, fresh, materialise, tidy
 from .graph import connected_components
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -54,7 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a long), a row for each row of ``docs``."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_fingerprints), "doc_id bigint, fp bigint")
+    return for_texts(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(_fingerprints), "doc_id bigint, fp bigint")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:

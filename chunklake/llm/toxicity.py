@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, tidy
+from .common import for_texts, fresh, materialise, tidy
 
 #: At most so many labelled rows are fitted, those with the least hash of their id; features that enter.
 SAMPLE_ROWS, FEATURES = 20_000, 2_048
@@ -138,7 +138,7 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     """
     labels = graded.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("grade").alias("__grade"))
     chosen = F.broadcast(labels.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", F.col("__grade").cast("int").alias("__grade"), text_col)
+    rows = for_texts(docs).select(id_col, text_col).join(chosen, F.col(id_col) == F.col("__id")).select("__id", F.col("__grade").cast("int").alias("__grade"), text_col)
     rows = materialise(rows.mapInArrow(tidy(_features), f"__id {graded.schema[id_col].dataType.simpleString()}, __grade int, words array<string>"))
     half = (F.xxhash64(F.lit("half"), "__id").bitwiseAND(1)).alias("half")
     sizes = {(r["half"], r["__grade"]): r["count"] for r in rows.groupBy(half, "__grade").count().collect()}
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", severity
         yield from tidy(judged)(texts)
 
     made = fresh(docs, "judged")
-    return docs.withColumn(made, judge(text_col)).withColumns({severity: F.col(f"{made}.severity"), p_toxic: F.col(f"{made}.p_toxic")}).drop(made)
+    return for_texts(docs).withColumn(made, judge(text_col)).withColumns({severity: F.col(f"{made}.severity"), p_toxic: F.col(f"{made}.p_toxic")}).drop(made)
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", bar: float = TOXIC_FROM) -> DataFrame:
