@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import worlds
 from .repo import Repo, RepoError, world_entries, world_files, write_files
-from .sources import nbt, png, world
+from .sources import png, world
 
 
 def show(df: DataFrame, limit: int | None = None) -> int:
@@ -57,8 +57,9 @@ def parser() -> argparse.ArgumentParser:
     add("diff", "old", "new", json=yes)
     add("extract", "old", "new", "patch")
     add("apply", "patch", "world", "out", reverse=yes, force=yes)
-    for name in ("merge", "revert", "cherry-pick", "rebase", "reset", "switch", "rev-parse", "show", "ls-tree"):
+    for name in ("merge", "revert", "cherry-pick", "rebase", "switch", "rev-parse", "show", "ls-tree"):
         add(name, "rev")
+    add("reset", "rev", "world?", hard=yes)
     add("branch", "name?", "rev?", delete=yes)
     add("tag", "name?", "rev?", message=text, delete=yes, force=yes)
     add("cat-file", "id")
@@ -81,7 +82,7 @@ def parser() -> argparse.ArgumentParser:
     add("where-changed", "old", "new", dim=text, verbose=yes)
     add("region", "world", dim=text)
     add("poi", "world", dim=text)
-    add("render", "world", "out", dim=text)
+    add("render", "world", "out", dim=text, max_chunks={"type": int, "default": png.MOST_CHUNKS})
     return p
 
 
@@ -89,8 +90,10 @@ def _decoded(spark: SparkSession, root: str, dim: str | None) -> DataFrame:
     return world.chunks(world.raw_chunks(spark, root, dimension=dim or "overworld"))
 
 
-def _changes(spark: SparkSession, old: str, new: str) -> DataFrame:
-    return worlds.chunk_diff(world.raw_chunks(spark, old), world.raw_chunks(spark, new))
+def _world_diff(spark: SparkSession, old: str, new: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both worlds' entries and what changes between them."""
+    sides = [world_entries(spark, r) for r in (old, new)]
+    return *sides, worlds.entry_changes(*sides)
 
 
 def world_queries(spark: SparkSession, a: argparse.Namespace) -> int | None:
@@ -102,33 +105,40 @@ def world_queries(spark: SparkSession, a: argparse.Namespace) -> int | None:
         found = {"entity": worlds.find_entities, "block-entity": worlds.find_block_entities, "sign": lambda d, _: worlds.find_signs(d)}
         return show(found[a.kind](d, a.id))
     if a.command == "inspect":
-        points = spark.createDataFrame([(int(a.x), int(a.y), int(a.z))], "x int, y int, z int")
-        return show(worlds.inspect(_decoded(spark, a.world, a.dim), points))
+        x, y, z = int(a.x), int(a.y), int(a.z)
+        raw = world.raw_chunks(spark, a.world, ("region",), a.dim or "overworld", regions=[(x >> 9, z >> 9)])
+        return show(worlds.inspect_raw(raw, spark.createDataFrame([(x, y, z)], "x int, y int, z int")))
     if a.command == "where-changed":
         raw = [world.raw_chunks(spark, r, ("region",), a.dim or "overworld") for r in (a.old, a.new)]
-        rows = worlds.where_changed(*raw, *map(world.chunks, raw)).orderBy("x", "y", "z")
+        rows = worlds.where_changed(*raw).orderBy("x", "y", "z")
         return 1 - show(rows, None if a.verbose else 20)
     if a.command == "region":
         return show(worlds.region_info(world.raw_chunks(spark, a.world, dimension=a.dim or "overworld")).orderBy("x", "z"))
     if a.command == "poi":
         return show(worlds.points_of_interest(_decoded(spark, a.world, a.dim)))
     if a.command == "render":
-        image, info = png.render(worlds.pixels(worlds.surface(_decoded(spark, a.world, a.dim))))
+        top = worlds.surface(_decoded(spark, a.world, a.dim), most_y=worlds.CEILING.get(a.dim, 319))
+        image, info = png.render(worlds.pixels(top), a.max_chunks)
         Path(a.out).write_bytes(image)
         print(json.dumps(info))
         return 0
+    if a.command == "diff" and Path(a.old).is_dir() and Path(a.new).is_dir():
+        old, new, changes = _world_diff(spark, a.old, a.new)
+        if a.json:
+            return 1 - show(changes.orderBy("file", "pos", "path"))
+        edits = worlds.block_edits(*(world.raw_chunks(spark, r, ("region",)) for r in (a.old, a.new)))
+        lines = [r["line"] for r in worlds.diff_lines(old, new, changes, edits).toLocalIterator()]
+        print("\n".join(lines) if lines else "No differences.")
+        return int(bool(lines))
     if a.command == "extract":
-        _changes(spark, a.old, a.new).write.mode("overwrite").json(a.patch)
+        _world_diff(spark, a.old, a.new)[2].write.mode("overwrite").json(a.patch)
         return 0
     if a.command == "apply":
-        ops = spark.read.schema(worlds.NODE_CHANGES).json(a.patch)
-        done = worlds.apply_patch(world.raw_chunks(spark, a.world), worlds.reverse_patch(ops) if a.reverse else ops, a.force)
-        kept = done.where("payload is not null")
-        body = F.udf(lambda c, p: nbt.canonical(world.decode(c, bytes(p))), "binary")
-        entries = kept.select(F.lit("region").alias("kind"), "path", F.concat_ws(",", "cx", "cz").alias("pos"), body("comp", "payload").alias("body"))
-        write_files(world_files(entries), a.out)
+        ops = spark.read.schema(worlds.ENTRY_CHANGES).json(a.patch)
+        done = worlds.apply_entries(world_entries(spark, a.world), worlds.reverse_patch(ops) if a.reverse else ops, a.force)
+        write_files(world_files(done.where("body is not null").select("kind", "path", "pos", "body")), a.out)
         bad = done.where(F.size("conflicts") > 0)
-        return 1 - show(bad.select("path", "cx", "cz", "conflicts"))
+        return 1 - show(bad.select("path", "pos", "conflicts"))
     return None
 
 
@@ -137,7 +147,8 @@ def _write(repo: Repo, entries: DataFrame, out: str, prune: bool = False) -> int
     n = write_files(made, out)
     if prune:
         keep = {r["path"] for r in made.select("path").toLocalIterator()}
-        for f in [f for f in Path(out).rglob("*") if f.is_file() and str(f.relative_to(out)) not in keep]:
+        own = Path(repo.root.removeprefix("file:")).resolve()  # a repository may lie inside the world
+        for f in [f for f in Path(out).rglob("*") if f.is_file() and str(f.relative_to(out)) not in keep and own not in f.resolve().parents]:
             f.unlink()
     print(json.dumps({"files": n}))
     return 0
@@ -156,7 +167,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     repo = Repo(spark, a.repo)
     tell = lambda x: print(json.dumps(x, default=str)) or 0
     outcome = lambda x: tell(x) or (0 if x["outcome"] != "conflicts" else 1)
-    here = lambda w: world_entries(spark, w)
+    here = lambda w: world_entries(spark, w, repo.root)
     if a.command == "commit":
         cid = repo.commit(here(a.world), a.message, a.author, int(time.time()))
         return tell({"commit": cid}) or (0 if cid else 1)
@@ -184,7 +195,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command in ("merge", "revert", "cherry-pick", "rebase"):
         return outcome(getattr(repo, a.command.replace("-", "_"))(a.rev))
     if a.command == "reset":
-        return tell({"head": repo.reset(a.rev)})
+        if a.hard and not a.world:
+            raise RepoError("a hard reset needs the world's folder")
+        tell({"head": repo.reset(a.rev)})
+        return _write(repo, repo.checkout(), a.world, prune=True) if a.hard else 0
     if a.command == "switch":
         return tell({"head": repo.switch(a.rev)})
     if a.command == "rev-parse":

@@ -12,8 +12,12 @@ def content_id(body: Column) -> Column:
 
 
 def canonical_row(columns: list[Column], null: str = "~") -> Column:
-    """One text for a row: the values in the given order, nulls marked, joined by ``|``."""
-    return F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit(null)) for c in columns))
+    """One text for a row, different for different rows: the values in the given order, nulls marked, joined by ``|``.
+
+    A backslash stands before these signs and itself where they belong to a value.
+    """
+    plain = lambda c: F.regexp_replace(c.cast("string"), rf"([\\|{null}])", r"\\$1")
+    return F.concat_ws("|", *(F.coalesce(plain(c), F.lit(null)) for c in columns))
 
 
 def cents(c: Column) -> Column:

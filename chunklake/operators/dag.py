@@ -97,8 +97,19 @@ def graft(edges: DataFrame, boundary: DataFrame) -> DataFrame:
     return edges.join(boundary.select(F.col("node").alias("child")), "child", "left_anti")
 
 
-def first_parents(spark, start: int, edges_view: str) -> DataFrame:  # noqa: ANN001
-    """``node, step``: the chain of first parents (``ord = 0``) of the view, by a recursive query."""
-    return spark.sql(
-        f"WITH RECURSIVE chain(node, step) AS (SELECT cast({start} AS BIGINT), 0 UNION ALL SELECT e.parent, step + 1 FROM chain c JOIN {edges_view} e ON e.child = c.node WHERE e.ord = 0) SELECT node, step FROM chain"
-    )
+def first_parents(start: DataFrame, edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """``node, step``: the chain of first parents from the one ``start``, of any length, or of ``steps`` at most.
+
+    ``edges`` has ``child, parent, ord``; those with ``ord = 0`` are followed. Each round doubles the
+    stretch that a jump covers, so a chain of n commits takes log n rounds.
+    """
+    jumps = materialise(edges.where("ord = 0").select("child", "parent"))
+    chain, reach = materialise(start.select(F.col("start").alias("node"), F.lit(0).alias("step"))), 1
+    while steps is None or reach <= steps:
+        more = materialise(chain.join(jumps, chain["node"] == jumps["child"]).select(F.col("parent").alias("node"), (F.col("step") + reach).alias("step")))
+        if more.isEmpty():
+            break
+        chain, reach = chain.unionByName(more), 2 * reach
+        far = jumps.select(F.col("child").alias("parent"), F.col("parent").alias("further"))
+        jumps = materialise(jumps.join(far, "parent").select("child", F.col("further").alias("parent")))
+    return chain if steps is None else chain.where(F.col("step") <= steps)

@@ -27,9 +27,8 @@ def _sql_starts(n: int, step: int = 97) -> str:
 def first_parent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of first parents (key div 2) from the latest commit."""
     k = table(spark, sf_dir, "orders", "o_orderkey")
-    k.where("o_orderkey > 0").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"), F.lit(0).alias("ord")).createOrReplaceTempView("chunklake_first_parents")
-    top = k.agg(F.max("o_orderkey")).first()[0]
-    return dag.first_parents(spark, top, "chunklake_first_parents")
+    edges = k.where("o_orderkey > 0").select(F.col("o_orderkey").alias("child"), F.expr("o_orderkey div 2").alias("parent"), F.lit(0).alias("ord"))
+    return dag.first_parents(k.agg(F.max("o_orderkey").alias("start")), edges)
 
 
 SQL_FIRST_PARENT = "WITH RECURSIVE chain AS (SELECT max(o_orderkey) AS node, 0 AS step FROM orders UNION ALL SELECT node // 2, step + 1 FROM chain WHERE node > 0) SELECT node, step FROM chain"

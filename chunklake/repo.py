@@ -22,7 +22,7 @@ from .functions.hashing import canonical_row, content_id, merkle
 from .operators import dag, merge
 from .session import materialise
 from .sources import nbt, region, storage
-from .sources.world import files, rows_mapped
+from .sources.world import all_files, rows_mapped
 
 ENTRY = "kind string, path string, pos string, body binary"
 TREE = "tree string, kind string, path string, pos string, id string"
@@ -46,31 +46,51 @@ def table_entries(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return df.select(F.lit("table").alias("kind"), F.lit(name).alias("path"), canonical_row([F.col(k) for k in keys]).alias("pos"), body.cast("binary").alias("body"))
 
 
-def world_entries(spark: SparkSession, root: str) -> DataFrame:
-    """A world's files as entries: chunks and trees by canonical bytes, all else as it is.
+def world_entries(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+    """A world's files as entries: chunks and trees by canonical bytes, all else as it is, empty folders too.
 
-    A region with a chunk that can't be decoded is a blob as a whole, and so is a tree file that
-    can't be read.
+    Oversized chunk bodies beside a region belong to it. A region without chunks, with a chunk that can't
+    be decoded or whose body is missing is a blob as a whole, and so are its bodies, a body that no
+    region asks for, and a tree file that can't be read. ``skip`` is a folder that is left out.
     """
-    found = files(spark, root).withColumn("kind", coords.path_class(F.col("path"))).where(~F.col("path").rlike(r"\.mcc$"))
+    found = all_files(spark, root, skip).withColumn("kind", F.when(F.col("content").isNull(), "dir").otherwise(coords.path_class(F.col("path"))))
+    name = r"^(?:(.*)/)?c\.(-?\d+)\.(-?\d+)\.mcc$"
+    cx, cz = (F.regexp_extract("path", name, k).try_cast("int") for k in (2, 3))
+    owner = F.regexp_replace("path", r"[^/]*$", F.concat(F.lit("r."), F.shiftright(cx, 5), F.lit("."), F.shiftright(cz, 5), F.lit(".mca")))
+    found = found.withColumn("owner", F.when(F.col("path").rlike(name), owner))
+    bodies = found.where("owner is not null")
+    rows = found.select("kind", "path", "content", F.expr("cast(null as array<struct<path: string, cx: int, cz: int, content: binary>>)").alias("beside"))
+    if not bodies.isEmpty():
+        beside = bodies.groupBy(F.col("owner").alias("path")).agg(F.collect_list(F.struct("path", cx.alias("cx"), cz.alias("cz"), "content")).alias("beside"))  # of one region's 1,024 chunks at most
+        regions = found.where("kind = 'region'")
+        alone = bodies.join(regions.select(F.col("path").alias("owner")), "owner", "left_anti")
+        rows = regions.select("kind", "path", "content").join(beside, "path", "left").select("kind", "path", "content", "beside").unionByName(
+            found.where("kind <> 'region' and owner is null").unionByName(alone.select(found.columns)).select("kind", "path", "content").withColumn("beside", F.lit(None))
+        )
 
     def work(row: dict) -> Iterator[dict]:
         base = {"kind": row["kind"], "path": row["path"], "pos": ""}
+        beside = row["beside"] or []
+        blobs = [{"kind": "blob", "path": x["path"], "pos": "", "body": x["content"]} for x in beside]
         try:
             if row["kind"] == "region":
                 chunks = region.parse(row["path"], row["content"])
-                if any(c.payload is None for c in chunks):
-                    raise region.BadRegion("bodies outside the region file")
-                parts = [base | {"pos": f"{c.x},{c.z}", "body": nbt.canonical(nbt.read(region.inflate(c.compression, c.payload))[1])} for c in chunks]
+                bodies = {(x["cx"], x["cz"]): x["content"] for x in beside}
+                payload = {(c.x, c.z): bodies.get((c.x, c.z)) if c.external else c.payload for c in chunks}
+                if not chunks or not all(payload.values()):
+                    raise region.BadRegion("no chunks, or bodies that are missing")
+                parts = [base | {"pos": f"{c.x},{c.z}", "body": nbt.canonical(nbt.read(region.inflate(c.compression, payload[c.x, c.z]))[1])} for c in chunks]
+                taken = {(c.x, c.z) for c in chunks if c.external}
+                parts += [b for b, x in zip(blobs, beside, strict=True) if (x["cx"], x["cz"]) not in taken]
             elif row["kind"] == "nbt":
                 parts = [base | {"body": nbt.canonical(nbt.read(region.unpack_file(row["content"]))[1])}]
             else:
-                parts = [base | {"body": row["content"]}]
+                parts = [base | {"body": row["content"] or b""}]
         except ValueError:
-            parts = [base | {"kind": "blob", "body": row["content"]}]
+            parts = [base | {"kind": "blob", "body": row["content"]}, *blobs]
         yield from parts
 
-    return rows_mapped(found.select("kind", "path", "content"), ENTRY, work)
+    return rows_mapped(rows, ENTRY, work)
 
 
 def confined(path: str) -> str:
@@ -82,12 +102,13 @@ def confined(path: str) -> str:
 
 
 def world_files(entries: DataFrame) -> DataFrame:
-    """``path, content``: the files that entries make, regions and trees compressed, oversized bodies beside them."""
+    """``path, content``: the files that entries make, regions and trees compressed, oversized bodies beside them; folders have null content."""
     whole = entries.where("kind <> 'region'").select("kind", "path", "body")
 
     def plain(row: dict) -> Iterator[dict]:
         body = row["body"]
-        yield {"path": confined(row["path"]), "content": region.deflate(region.GZIP, body) if row["kind"] == "nbt" else body}
+        content = {"nbt": lambda: region.deflate(region.GZIP, body), "dir": lambda: None}.get(row["kind"], lambda: body)()
+        yield {"path": confined(row["path"]), "content": content}
 
     def build(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
@@ -111,6 +132,9 @@ def write_files(out_files: DataFrame, root: str) -> int:
         from pathlib import Path
 
         target = Path(root.removeprefix("file:")) / confined(row["path"])
+        if row["content"] is None:
+            target.mkdir(parents=True, exist_ok=True)
+            return
         target.parent.mkdir(parents=True, exist_ok=True)
         part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
         part.write_bytes(row["content"])
@@ -126,32 +150,41 @@ def write_files(out_files: DataFrame, root: str) -> int:
 class Repo:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        if not storage.exists(spark, f"{self.root}/meta.json"):
+        if not storage.exists(spark, f"{self.root}/meta"):
             raise RepoError(f"{root} holds no repository")
 
     @classmethod
     def init(cls, spark: SparkSession, root: str) -> Repo:
         root = root.rstrip("/")
-        if storage.exists(spark, f"{root}/meta.json"):
+        if storage.exists(spark, f"{root}/meta"):
             raise RepoError("there is a repository already")
         for name, ddl in (("objects", OBJECT), ("trees", TREE), ("commits", COMMIT)):
             spark.createDataFrame([], ddl).write.parquet(f"{root}/{name}")
-        meta = {"head": "main", "branches": {}, "tags": {}, "remotes": {}, "config": {}, "reflog": [], "stash": [], "bisect": None, "shallow": [], "promisor": None}
-        storage.write_json(spark, f"{root}/meta.json", meta)
+        meta = {"head": "main", "branches": {}, "tags": {}, "remotes": {}, "config": {}, "reflog": [], "stash": [], "bisect": None, "shallow": [], "promisor": None, "objects": "objects", "tag_objects": {}}
+        storage.write_next(spark, f"{root}/meta", 0, meta)
         return cls(spark, root)
 
     # Tables and marks
 
     def table(self, name: str) -> DataFrame:
         ddl = {"objects": OBJECT, "trees": TREE, "commits": COMMIT}[name]
-        return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(ddl).parquet(self._path(name))
+
+    def _path(self, name: str) -> str:
+        """The folder of a table; a collection of garbage names another one for the objects."""
+        return f"{self.root}/{self.meta['objects'] if name == 'objects' else name}"
 
     @property
     def meta(self) -> dict:
-        return storage.read_json(self.spark, f"{self.root}/meta.json")
+        at, found = storage.read_latest(self.spark, f"{self.root}/meta")
+        return found | {"at": at}
 
     def _save(self, meta: dict) -> None:
-        storage.write_json(self.spark, f"{self.root}/meta.json", meta)
+        """Write the marks; refused if they are not those that ``meta`` was read from any more."""
+        try:
+            meta["at"] = storage.write_next(self.spark, f"{self.root}/meta", meta["at"], {k: v for k, v in meta.items() if k != "at"})
+        except storage.Conflict as e:
+            raise RepoError("the repository has changed meanwhile; nothing was moved") from e
 
     def edges(self) -> DataFrame:
         """``child, parent, ord``; commits at a shallow boundary have no parents."""
@@ -163,8 +196,9 @@ class Repo:
         m = self.meta
         return m["branches"].get(m["head"]) if not m["head"].startswith("@") else m["head"][1:]
 
-    def _move(self, to: str, message: str, ref: str | None = None) -> None:
-        m = self.meta
+    def _move(self, to: str, message: str, ref: str | None = None, seen: dict | None = None) -> None:
+        """Point the head or a branch at a commit; with ``seen`` only if nothing has changed since these marks."""
+        m = seen or self.meta
         name = ref or m["head"]
         old = m["branches"].get(name)
         if name.startswith("@"):
@@ -176,15 +210,36 @@ class Repo:
 
     # Commits
 
-    def _put(self, entries: DataFrame) -> tuple[str, DataFrame]:
-        """Store bodies that are new and the tree, if new; the tree's id and entries."""
+    def _put(self, entries: DataFrame) -> str:
+        """Store bodies that are new and the tree, if new; the tree's id."""
         named = materialise(entries.withColumn("id", content_id(F.col("body"))))
         new = named.select("id", "body").dropDuplicates(["id"]).join(self.table("objects").select("id"), "id", "left_anti")
-        new.select("id", "body", F.octet_length("body").cast("bigint").alias("raw_len")).write.mode("append").parquet(f"{self.root}/objects")
+        new.select("id", "body", F.octet_length("body").cast("bigint").alias("raw_len")).write.mode("append").parquet(self._path("objects"))
+        return self._put_tree(named)
+
+    def _put_tree(self, named: DataFrame) -> str:
+        """Store a tree of known ids, if new."""
         tree = self.tree_id(named)
         if self.table("trees").where(F.col("tree") == tree).isEmpty():
             named.select(F.lit(tree).alias("tree"), *KEY, "id").write.mode("append").parquet(f"{self.root}/trees")
-        return tree, named
+        return tree
+
+    def _bodies(self, tree: DataFrame) -> DataFrame:
+        """Entries with bodies; those that a partial clone lacks are fetched, one that is nowhere is an error."""
+        if self.meta["promisor"]:
+            self._fetch(tree)
+        lost = F.raise_error(F.concat(F.lit("no object "), "id", F.lit(" of "), "path"))
+        rows = tree.join(self.table("objects").dropDuplicates(["id"]).select("id", "body", F.lit(True).alias("there")), "id", "left")
+        return rows.select(*KEY, F.when(F.col("there").isNull(), lost).otherwise(F.col("body")).alias("body"))
+
+    def _fetch(self, tree: DataFrame) -> int:
+        """Copy the tree's bodies that are not here from where this clone was made; the number of them."""
+        wanted = materialise(tree.select("id").distinct().join(self.table("objects").select("id"), "id", "left_anti"))
+        if wanted.isEmpty():
+            return 0
+        bodies = materialise(Repo(self.spark, self.meta["promisor"]).table("objects").join(wanted, "id", "left_semi"))
+        bodies.write.mode("append").parquet(self._path("objects"))
+        return bodies.count()
 
     @staticmethod
     def tree_id(named: DataFrame) -> str:
@@ -208,12 +263,13 @@ class Repo:
         """
         if before:
             before(entries)
-        tree, _ = self._put(entries)
+        seen = self.meta
+        tree = self._put(entries)
         parent = self.head()
         if parent and self.commit_of(parent)["tree"] == tree:
             return None
         cid = self._commit(tree, [parent] if parent else [], message, author, when)
-        self._move(cid, f"commit: {message}")
+        self._move(cid, f"commit: {message}", seen=seen)
         if after:
             after(cid)
         return cid
@@ -236,13 +292,20 @@ class Repo:
             log = [e for e in meta["reflog"] if e["ref"] == ref][::-1]
             cid = log[int(at[2])]["to"] if int(at[2]) < len(log) else None
         else:
-            cid = meta["branches"].get(name) or (meta["tags"].get(name) or {}).get("target")
+            cid = meta["branches"].get(name) or self._peeled(meta, (meta["tags"].get(name) or {}).get("target"))
             if cid is None and re.fullmatch(r"[0-9a-f]{4,64}", name):
                 hits = [r["id"] for r in self.table("commits").where(F.col("id").startswith(name)).select("id").limit(2).collect()]
                 cid = hits[0] if len(hits) == 1 else None
         if cid is None:
             raise RepoError(f"{spec!r} names no commit")
         for sign, n in steps:
+            if sign == "~" and int(n or 1) > 2:
+                chain = dag.first_parents(self.spark.createDataFrame([(cid,)], "start string"), self.edges(), int(n))
+                at = chain.where(F.col("step") == int(n)).first()
+                if at is None:
+                    raise RepoError(f"{spec!r} goes beyond the root")
+                cid = at["node"]
+                continue
             for _ in range(int(n or 1) if sign == "~" else 1):
                 parents = self.commit_of(cid)["parents"]
                 k = 0 if sign == "~" else int(n or 1) - 1
@@ -251,6 +314,13 @@ class Repo:
                 cid = parents[k]
         return cid
 
+    @staticmethod
+    def _peeled(meta: dict, target: str | None) -> str | None:
+        """The commit that a tag names, through tags of tags."""
+        while target in meta["tag_objects"]:
+            target = meta["tag_objects"][target]["object"]
+        return target
+
     def tree_of(self, rev: str = "HEAD") -> DataFrame:
         """``kind, path, pos, id`` of a commit."""
         return self.table("trees").where(F.col("tree") == self.commit_of(self.resolve(rev))["tree"]).select(*KEY, "id")
@@ -264,7 +334,7 @@ class Repo:
             tree = tree.where((F.col("kind") != "region") | F.concat_ws(",", rx, rz).isin(keep))
         if paths is not None:
             tree = tree.where(F.col("path").isin(paths))
-        return tree.join(self.table("objects").select("id", "body"), "id").select(*KEY, "body")
+        return self._bodies(tree)
 
     def switch(self, branch: str) -> str:
         m = self.meta
@@ -274,12 +344,8 @@ class Repo:
 
     def log(self, rev: str = "HEAD", author: str | None = None, grep: str | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
         """The chain of first parents, latest first, and what passes the filters of it."""
-        self.edges().createOrReplaceTempView("chunklake_edges")
-        start = self.resolve(rev)
-        chain = self.spark.sql(
-            "WITH RECURSIVE chain(node, step) AS (SELECT :start, 0 UNION ALL SELECT e.parent, step + 1 FROM chain c JOIN chunklake_edges e ON e.child = c.node AND e.ord = 0) SELECT node AS id, step FROM chain",
-            {"start": start},
-        )
+        start = self.spark.createDataFrame([(self.resolve(rev),)], "start string")
+        chain = dag.first_parents(start, self.edges()).withColumnRenamed("node", "id")
         rows = chain.join(self.table("commits"), "id")
         for ok in (author is None or F.col("author").contains(author), grep is None or F.col("message").contains(grep), since is None or F.col("time") >= since, until is None or F.col("time") <= until):
             rows = rows.where(ok) if ok is not True else rows
@@ -330,8 +396,7 @@ class Repo:
         conflicts = [r["path"] for r in bad.select("path").distinct().orderBy("path").collect()]
         if conflicts:
             return {"outcome": "conflicts", "paths": conflicts}
-        tree, _ = self._put(merged.join(self.table("objects").select("id", "body"), "id").select(*KEY, "body"))
-        cid = self._commit(tree, parents, message, author, when)
+        cid = self._commit(self._put_tree(materialise(merged.select(*KEY, "id"))), parents, message, author, when)  # all bodies are those of a side
         self._move(cid, message)
         return {"outcome": "merged", "commit": cid}
 
@@ -392,19 +457,27 @@ class Repo:
             m["branches"][name] = target
         self._save(m)
 
-    def tag(self, name: str, rev: str = "HEAD", message: str | None = None, delete: bool = False, force: bool = False) -> None:
+    def tag(self, name: str, rev: str = "HEAD", message: str | None = None, delete: bool = False, force: bool = False, author: str = "", when: int | None = None) -> str | None:
+        """Name a commit; with a message by a tag object of its own, which may stand for another tag. The target's id."""
         if not _REF.fullmatch(name):
             raise RepoError(f"{name!r} is no name")
-        target = None if delete else self.resolve(rev)
         m = self.meta
         if delete:
             if m["tags"].pop(name, None) is None:
                 raise RepoError(f"no tag {name!r}")
-        elif name in m["tags"] and not force:
+            self._save(m)
+            return None
+        if name in m["tags"] and not force:
             raise RepoError(f"there is a tag {name!r}")
-        else:
-            m["tags"][name] = {"target": target, "message": message}
+        target = self.resolve(rev)
+        if message is not None:
+            inner = m["tags"].get(rev, {}).get("target")
+            made = {"object": inner if inner in m["tag_objects"] else target, "name": name, "message": message, "author": author, "time": int(time.time()) if when is None else when}
+            target = hashlib.sha256(json.dumps(made, sort_keys=True).encode()).hexdigest()
+            m["tag_objects"][target] = made
+        m["tags"][name] = {"target": target, "message": message}
         self._save(m)
+        return target
 
     def reflog(self, ref: str | None = None) -> list[dict]:
         m = self.meta
@@ -422,7 +495,7 @@ class Repo:
         return value
 
     def stash_push(self, entries: DataFrame, message: str = "") -> str:
-        tree, _ = self._put(entries)
+        tree = self._put(entries)
         head = self.head()
         cid = self._commit(tree, [head] if head else [], f"stash: {message}", "", None)
         m = self.meta
@@ -467,7 +540,7 @@ class Repo:
     def tips(self) -> list[str]:
         """HEAD, branches, tags, the stash and what reflogs name, so that a collection spares them."""
         m = self.meta
-        named = {self.head(), *m["branches"].values(), *(t["target"] for t in m["tags"].values()), *m["stash"], *(e["to"] for e in m["reflog"])}
+        named = {self.head(), *m["branches"].values(), *(self._peeled(m, t["target"]) for t in m["tags"].values()), *m["stash"], *(e["to"] for e in m["reflog"])}
         return sorted(x for x in named if x)
 
     def reachable(self, tips: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -493,14 +566,14 @@ class Repo:
         _, ids = self.reachable()
         store = self.table("objects")
         kept = store.join(ids, "id", "left_semi")
-        part, old = f"{self.root}/objects-{uuid.uuid4().hex}", f"{self.root}/objects-old-{uuid.uuid4().hex}"
+        m = self.meta
+        old, new = m["objects"], f"objects-{uuid.uuid4().hex}"
         before = store.count()
-        kept.write.parquet(part)
-        n = self.spark.read.schema(OBJECT).parquet(part).count()
-        storage.rename(self.spark, f"{self.root}/objects", old)
-        storage.rename(self.spark, part, f"{self.root}/objects")
-        storage.delete(self.spark, old)
-        self.spark.catalog.refreshByPath(f"{self.root}/objects")
+        kept.write.parquet(f"{self.root}/{new}")
+        n = self.spark.read.schema(OBJECT).parquet(f"{self.root}/{new}").count()
+        m["objects"] = new
+        self._save(m)  # from here on the new table counts; the old one goes after
+        storage.delete(self.spark, f"{self.root}/{old}")
         return {"kept": n, "pruned": before - n}
 
     # Transfer
@@ -517,7 +590,7 @@ class Repo:
             if not bodies.where(content_id(F.col("body")) != F.col("id")).isEmpty():
                 raise RepoError("an object is not what its id says")
             moved = bodies.count()
-            bodies.write.mode("append").parquet(f"{self.root}/objects")
+            bodies.write.mode("append").parquet(self._path("objects"))
         materialise(trees).write.mode("append").parquet(f"{self.root}/trees")
         materialise(new).write.mode("append").parquet(f"{self.root}/commits")
         return moved
@@ -539,7 +612,7 @@ class Repo:
                 commits.write.mode("append").parquet(f"{root}/commits")
                 trees.write.mode("append").parquet(f"{root}/trees")
                 if not partial:
-                    source.table("objects").join(trees.select("id").distinct(), "id", "left_semi").join(new.table("objects").select("id"), "id", "left_anti").write.mode("append").parquet(f"{root}/objects")
+                    source.table("objects").join(trees.select("id").distinct(), "id", "left_semi").join(new.table("objects").select("id"), "id", "left_anti").write.mode("append").parquet(new._path("objects"))
                 edge = dag.shallow_boundary(starts, source.edges().select("child", "parent"), depth - 1)
                 m = new.meta
                 m["shallow"] = sorted({*m["shallow"], *(r["node"] for r in edge.collect())})
@@ -548,17 +621,13 @@ class Repo:
             m["branches"][name] = tip
             new._save(m)
         m = new.meta
-        m |= {"head": theirs["head"], "tags": theirs["tags"] if depth is None else {}, "remotes": {"origin": source.root}, "promisor": source.root if partial else None}
+        m |= {"head": theirs["head"], "tags": theirs["tags"] if depth is None else {}, "tag_objects": theirs["tag_objects"] if depth is None else {}, "remotes": {"origin": source.root}, "promisor": source.root if partial else None}
         new._save(m)
         return new
 
     def backfill(self, rev: str = "HEAD") -> int:
         """Fetch the bodies of a commit that a partial clone lacks."""
-        origin = Repo(self.spark, self.meta["promisor"])
-        wanted = self.tree_of(rev).select("id").distinct().join(self.table("objects").select("id"), "id", "left_anti")
-        bodies = materialise(origin.table("objects").join(wanted, "id", "left_semi"))
-        bodies.write.mode("append").parquet(f"{self.root}/objects")
-        return bodies.count()
+        return self._fetch(self.tree_of(rev))
 
     def fetch(self, source: Repo, branch: str) -> int:
         tip = source.meta["branches"][branch]

@@ -20,15 +20,15 @@ def encode(width: int, height: int, rgb: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + _part(b"IDAT", zlib.compress(rows, 6)) + _part(b"IEND", b"")
 
 
-def render(pixels: DataFrame) -> tuple[bytes, dict]:
-    """The image and ``width, height, truncated``; a larger map is cut around its middle.
+def render(pixels: DataFrame, most_chunks: int = MOST_CHUNKS) -> tuple[bytes, dict]:
+    """The image and ``width, height, truncated``; a map of more chunks a side is cut around its middle.
 
     The rows that reach the driver are bounded by the side of the image.
     """
     box = pixels.agg(*(f(c).alias(n + c) for c in ("x", "z") for n, f in (("min", F.min), ("max", F.max)))).first()
     if box["minx"] is None:
         return encode(1, 1, b"\0\0\0"), {"width": 0, "height": 0, "truncated": False}
-    side, cut, low, size = 16 * MOST_CHUNKS, False, {}, {}
+    side, cut, low, size = 16 * most_chunks, False, {}, {}
     for c in ("x", "z"):
         a, b = box[f"min{c}"] // 16 * 16, box[f"max{c}"] // 16 * 16 + 15
         if b - a + 1 > side:

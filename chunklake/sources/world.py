@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from . import nbt, region
+from . import nbt, region, storage
 
 RAW = "path string, folder string, rx int, rz int, cx int, cz int, comp tinyint, payload binary, bytes int, external boolean, ts int, payload_hash string"
 SECTION = "y int, palette array<string>, data array<bigint>, biomes array<string>, biome_data array<bigint>"
@@ -51,22 +51,55 @@ def rows_mapped(df: DataFrame, ddl: str, work: Callable[[dict], Iterator[dict]],
     return df.mapInArrow(run, ddl)
 
 
+#: Bytes of a file that Spark's readers hide, beyond which it is not taken through the driver.
+MOST_HIDDEN = 64 << 20
+LOCK = "session.lock"
+
+
 def files(spark: SparkSession, root: str, glob: str | None = None, content: bool = True) -> DataFrame:
-    """``path`` (relative), ``length`` and ``content`` of the files under ``root``, without ``session.lock``."""
+    """``path`` (relative), ``length`` and ``content`` of the files under ``root``, without any ``session.lock``.
+
+    Spark's readers pass over names that begin with ``_`` or ``.``; :func:`all_files` has these too.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.substring_index(F.col("path"), f"/{base}/", -1)
-    df = df.withColumn("path", rel).where(F.col("path") != "session.lock")
+    df = df.withColumn("path", F.substring("path", len(storage.qualified(spark, root)) + 2, 1 << 20)).where(F.substring_index("path", "/", -1) != LOCK)
     return df.select("path", "length", *(["content"] if content else []))
 
 
-def raw_chunks(spark: SparkSession, root: str, folders: tuple[str, ...] = ("region", "entities", "poi"), dimension: str | None = None, strict: bool = False) -> DataFrame:
-    """The chunks of all region files under ``root`` (RAW).
+def _hidden(path: str) -> bool:
+    return any(p[0] in "_." or p.endswith("._COPYING_") for p in path.split("/"))
+
+
+def all_files(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+    """``path, content`` of every file under ``root``, and of empty folders with null content.
+
+    ``skip`` is a folder that is left out, such as a repository inside the world. Files with names that
+    Spark hides go through the driver one by one; one of more than MOST_HIDDEN bytes is an error.
+    """
+    base = storage.qualified(spark, root)
+    part = storage.qualified(spark, skip)[len(base) + 1 :] if skip and storage.qualified(spark, skip).startswith(f"{base}/") else None
+    inside = lambda p: part is not None and (p == part or p.startswith(f"{part}/"))
+    found = [x for x in storage.listing(spark, root) if not inside(x[0]) and x[0].rpartition("/")[2] != LOCK]
+    full = {p.rpartition("/")[0] for p, _, _ in found}
+    rows = [(p, None) for p, _, folder in found if folder and p not in full]
+    for path, length, folder in found:
+        if not folder and _hidden(path):
+            if length > MOST_HIDDEN:
+                raise ValueError(f"{path} is too large for a file with a hidden name")
+            rows.append((path, bytearray(storage.read_bytes(spark, f"{base}/{path}"))))
+    seen = files(spark, root).select("path", "content")
+    if part is not None:
+        seen = seen.where(~F.col("path").startswith(f"{part}/"))
+    return seen.unionByName(spark.createDataFrame(rows, "path string, content binary")) if rows else seen
+
+
+def raw_chunks(spark: SparkSession, root: str, folders: tuple[str, ...] = ("region", "entities", "poi"), dimension: str | None = None, strict: bool = False, regions: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The chunks of all region files under ``root`` (RAW), or of chosen regions, whose files alone are read.
 
     Files with other names are left out, or fail the query where ``strict``. External bodies join
     from the ``.mcc`` files of the same folder; one that is missing leaves its chunk out, one above
-    the bound fails.
+    the bound fails. Only regions with such bodies are read a second time.
     """
     found = files(spark, root, "*.mca")
     folder = F.regexp_extract("path", r"(?:^|/)(region|entities|poi)/[^/]*$", 1)
@@ -77,26 +110,37 @@ def raw_chunks(spark: SparkSession, root: str, folders: tuple[str, ...] = ("regi
     rx, rz = coords.region_from_name(F.col("path"))
     if not strict:
         found = found.where(rx.isNotNull())
+    if regions is not None:
+        found = found.where(F.concat_ws(",", rx, rz).isin([f"{x},{z}" for x, z in regions]))
 
     def work(row: dict) -> Iterator[dict]:
         x, z = region.region_name(row["path"])
         for c in region.parse(row["path"], row["content"]):
             yield {"path": row["path"], "folder": row["folder"], "rx": x, "rz": z, "cx": c.x, "cz": c.z, "comp": c.compression, "payload": c.payload, "external": c.external, "ts": c.timestamp}
 
-    chunks = rows_mapped(found.select("path", "folder", "content"), "path string, folder string, rx int, rz int, cx int, cz int, comp tinyint, payload binary, external boolean, ts int", work)
-    outside = files(spark, root, "c.*.mcc", content=True).where(F.length("content") > 0)
+    parsed = lambda df: rows_mapped(df.select("path", "folder", "content"), "path string, folder string, rx int, rz int, cx int, cz int, comp tinyint, payload binary, external boolean, ts int", work)
+    both = parsed(found).where("not external")
+    outside = external_bodies(spark, root)
+    if not outside.isEmpty():
+        owners = F.broadcast(outside.select("path").distinct()) if outside.count() <= MOST_OWNERS else outside.select("path")
+        large = parsed(found.join(owners, "path", "left_semi")).where("external").drop("payload")
+        both = both.unionByName(large.join(outside.withColumnRenamed("body", "payload"), ["path", "cx", "cz"]).select(both.columns))
+    return both.select("path", "folder", "rx", "rz", "cx", "cz", "comp", "payload", F.length("payload").alias("bytes"), "external", "ts", F.sha2("payload", 256).alias("payload_hash"))
+
+
+#: Region files with bodies beside them whose names may be broadcast.
+MOST_OWNERS = 100_000
+
+
+def external_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """``path, cx, cz, body``: the bodies beside region files, under the region's path; one above the bound fails."""
+    rows = files(spark, root, "c.*.mcc").where("length > 0")
     too_large = F.raise_error(F.concat(F.lit("external chunk above the bound: "), F.col("path")))
     name = r"^(.*?)c\.(-?\d+)\.(-?\d+)\.mcc$"
-    outside = outside.select(
-        F.regexp_extract("path", name, 1).alias("dir"),
-        F.regexp_extract("path", name, 2).try_cast("int").alias("cx"),
-        F.regexp_extract("path", name, 3).try_cast("int").alias("cz"),
-        F.when(F.col("length") > region.MOST_EXTERNAL, too_large).otherwise(F.col("content")).alias("body"),
-    )
-    inside = chunks.where("not external")
-    large = chunks.where("external").withColumn("dir", F.regexp_replace("path", r"[^/]*$", "")).join(outside, ["dir", "cx", "cz"]).withColumn("payload", F.col("body")).select(inside.columns)
-    both = inside.unionByName(large)
-    return both.select("path", "folder", "rx", "rz", "cx", "cz", "comp", "payload", F.length("payload").alias("bytes"), "external", "ts", F.sha2("payload", 256).alias("payload_hash"))
+    cx, cz = (F.regexp_extract("path", name, k).try_cast("int") for k in (2, 3))
+    owner = F.concat(F.regexp_extract("path", name, 1), F.lit("r."), F.shiftright(cx, 5), F.lit("."), F.shiftright(cz, 5), F.lit(".mca"))
+    body = F.when(F.col("length") > region.MOST_EXTERNAL, too_large).otherwise(F.col("content"))
+    return rows.select(owner.alias("path"), cx.alias("cx"), cz.alias("cz"), body.alias("body")).where("path is not null")
 
 
 def _number(node: nbt.Node | None) -> int | None:

@@ -47,7 +47,7 @@ def test_where_changed_and_diff(spark, old, tmp_path):
     new = make_world(tmp_path / "new")
     write_region(new / "region/r.0.0.mca", {(0, 0): chest_chunk(0), (7, 7): compound(hp=i(1))})
     a, b = (world.raw_chunks(spark, str(p), ("region",)) for p in (old, new))
-    rows = W.where_changed(a, b, world.chunks(a), world.chunks(b)).collect()
+    rows = W.where_changed(a, b).collect()
     assert [tuple(r) for r in rows] == [(0, 0, 0, "minecraft:stone", "minecraft:air")]
     changes = W.chunk_diff(a, b).cache()
     kinds = {(r["cx"], r["path"]): r["kind"] for r in changes.collect()}
