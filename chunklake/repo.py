@@ -54,9 +54,9 @@ def world_entries(spark: SparkSession, root: str, skip: str | None = None) -> Da
     region asks for, and a tree file that can't be read. ``skip`` is a folder that is left out.
     """
     found = all_files(spark, root, skip).withColumn("kind", F.when(F.col("content").isNull(), "dir").otherwise(coords.path_class(F.col("path"))))
-    name = r"^(?:(.*)/)?c\.(-?\d+)\.(-?\d+)\.mcc$"
+    name = r"^(.*/|)c\.(-?\d+)\.(-?\d+)\.mcc$"
     cx, cz = (F.regexp_extract("path", name, k).try_cast("int") for k in (2, 3))
-    owner = F.regexp_replace("path", r"[^/]*$", F.concat(F.lit("r."), F.shiftright(cx, 5), F.lit("."), F.shiftright(cz, 5), F.lit(".mca")))
+    owner = F.concat(F.regexp_extract("path", name, 1), F.lit("r."), F.shiftright(cx, 5), F.lit("."), F.shiftright(cz, 5), F.lit(".mca"))
     found = found.withColumn("owner", F.when(F.col("path").rlike(name), owner))
     bodies = found.where("owner is not null")
     rows = found.select("kind", "path", "content", F.expr("cast(null as array<struct<path: string, cx: int, cz: int, content: binary>>)").alias("beside"))
