@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, identity
 from ..functions.palette import palette_index
+from . import sequence
 from ..sources import nbt, region
 from ..sources.world import chunks, decode, project, rows_mapped
 
@@ -146,8 +147,8 @@ CEILING = {"nether": 120, "the_nether": 120, "minecraft:the_nether": 120, "-1":
 
 def surface(decoded: DataFrame, least_y: int = -64, most_y: int = 319) -> DataFrame:
     """The top block of each column that is not air, between two heights: ``x, z, y, state``."""
-    rows = cells(sections(decoded)).where(F.col("y").between(least_y, most_y) & ~color.is_air(F.regexp_replace("state", r"\[.*$", "")))
-    return rows.groupBy("x", "z").agg(F.max(F.struct("y", "state")).alias("t")).select("x", "z", "t.y", "t.state")
+    rows = cells(sections(decoded)).where(F.col("y").between(least_y, most_y))
+    return sequence.topmost(rows, ["x", "z"], "y", "state", [], ~color.is_air(F.regexp_replace("state", r"\[.*$", "")))
 
 
 def pixels(top: DataFrame) -> DataFrame:

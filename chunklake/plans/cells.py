@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import color, coords, identity, palette
 from ..functions.hashing import cents
 from ..operators import diff, sequence
+from . import shipped
 from .diffs import LINE_KEY, _L, _lines
 from .tables import table
 
@@ -207,80 +208,24 @@ SQL_BOUNDS = f"""WITH {_CELLS}, b AS (SELECT min(x)::bigint AS min_x, max(x)::bi
 SELECT min_x, max_x, min_z, max_z, CASE WHEN max_x - min_x + 1 > 160 THEN mx - 80 ELSE min_x END AS from_x, CASE WHEN max_x - min_x + 1 > 160 THEN mx + 79 ELSE max_x END AS to_x, CASE WHEN max_z - min_z + 1 > 160 THEN mz - 80 ELSE min_z END AS from_z, CASE WHEN max_z - min_z + 1 > 160 THEN mz + 79 ELSE max_z END AS to_z FROM m"""
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as chunks whose lines are records in one list."""
-    return _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "flag", "price"))).alias("records"))
-
-
-def find_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with the flag asked for, out of the nested records."""
-    rows = _nested(spark, sf_dir).select("l_orderkey", F.explode("records").alias("e"))
-    rows = rows.select("l_orderkey", F.concat(F.lit("minecraft:"), F.lower("e.flag")).alias("id"), F.col("e.l_partkey").alias("x"), F.col("e.l_suppkey").alias("z"))
-    return rows.where(identity.id_matches(F.col("id"), "r"))
-
-
 SQL_ENTITIES = f"WITH {_L} SELECT l_orderkey, 'minecraft:' || lower(flag) AS id, l_partkey AS x, l_suppkey AS z FROM a WHERE flag = 'R'"
 
 
-def find_block_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The new list where it is there, else the old one; absent coordinates count as 0."""
-    rows = _nested(spark, sf_dir).withColumns({"block_entities": F.when(F.col("l_orderkey") % 2 == 0, F.col("records")), "TileEntities": F.when(F.col("l_orderkey") % 3 == 0, F.col("records"))})
-    rows = rows.select("l_orderkey", F.explode(F.coalesce("block_entities", "TileEntities")).alias("e"))
-    x = F.when(F.col("e.l_linenumber") % 2 == 0, F.col("e.l_partkey"))
-    return rows.select("l_orderkey", F.col("e.flag").alias("id"), F.coalesce(x, F.lit(0)).cast("bigint").alias("x"), F.col("e.l_suppkey").alias("z"), F.col("e.price").alias("price"))
-
-
 SQL_BLOCK_ENTITIES = f"WITH {_L} SELECT l_orderkey, flag AS id, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE 0 END::bigint AS x, l_suppkey AS z, price FROM a WHERE l_orderkey % 2 = 0 OR l_orderkey % 3 = 0"
 
 
-def poi_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections are a map by level, each with a list of records."""
-    sections = _lines(spark, sf_dir).groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("level")).agg(F.collect_list(F.struct(F.col("flag").alias("kind"), F.array("l_partkey", "l_suppkey", F.col("price")).alias("pos"))).alias("records"))
-    chunks = sections.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("level", "records"))).alias("sections"))
-    rows = chunks.select(F.explode(F.map_values("sections")).alias("r")).select(F.explode("r").alias("p"))
-    return rows.where(F.size("p.pos") >= 3).select("p.kind", *(F.get("p.pos", i).alias(c) for i, c in enumerate("xyz")))
-
-
 SQL_POI = f"WITH {_L} SELECT flag AS kind, l_partkey AS x, l_suppkey AS y, price AS z FROM a"
 
 
-def region_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with the size of their payload and whether it lies outside the region file."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text")
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    return d.select((F.col("doc_id") % 32).alias("x"), F.expr("doc_id div 32").alias("z"), size.alias("bytes"), (size > 20_000).alias("external"))
-
-
 SQL_REGION_INFO = "SELECT doc_id % 32 AS x, doc_id // 32 AS z, strlen(coalesce(text, '')) AS bytes, strlen(coalesce(text, '')) > 20000 AS external FROM documents"
 
 
-def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as players: position, level, health, the host being customer 0; unreadable ones left out."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 29 <> 0 or c_custkey = 0")
-    nested = c.select(F.struct(F.when(F.col("c_custkey") % 5 > 0, F.array("c_custkey", "c_nationkey")).alias("Pos"), F.col("c_nationkey").alias("XpLevel"), cents(F.col("c_acctbal")).alias("Health")).alias("p"), F.when(F.col("c_custkey") == 0, "host").otherwise(F.col("c_name")).alias("id"))
-    return nested.select("id", F.get("p.Pos", 0).alias("x"), F.get("p.Pos", 1).alias("z"), F.col("p.XpLevel").alias("xp_level"), F.col("p.Health").alias("health"))
-
-
 SQL_PLAYERS = "SELECT CASE WHEN c_custkey = 0 THEN 'host' ELSE c_name END AS id, CASE WHEN c_custkey % 5 > 0 THEN c_custkey END AS x, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey::bigint END AS z, c_nationkey AS xp_level, round(c_acctbal * 100)::bigint AS health FROM customer WHERE c_custkey % 29 <> 0 OR c_custkey = 0"
 
 
-def inspect_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order's lines at one supplier: the filter reaches the scan; of several the last wins."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey = 42").groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")).alias("flag"), F.count("*").alias("n"))
-    return spark.range(1).select(F.lit(42).cast("bigint").alias("l_orderkey")).join(rows, "l_orderkey", "left")
-
-
 SQL_INSPECT_POINT = "SELECT 42::bigint AS l_orderkey, (SELECT arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) FROM lineitem WHERE l_orderkey = 42) AS flag, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM lineitem WHERE l_orderkey = 42) AS n"
 
 
-def inspect_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list of points looked up at once; absent ones give nulls."""
-    points = spark.createDataFrame([(k * 37,) for k in range(200)], "l_orderkey bigint")
-    hit = table(spark, sf_dir, "lineitem").join(F.broadcast(points), "l_orderkey", "left_semi")
-    found = hit.groupBy("l_orderkey").agg(F.max_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")).alias("flag"), F.count("*").alias("n"))
-    return points.join(found, "l_orderkey", "left")
-
-
 SQL_INSPECT_BATCH = "WITH p AS (SELECT (range * 37)::bigint AS l_orderkey FROM range(200)), f AS (SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_partkey, l_suppkey, l_returnflag)) AS flag, count(*) AS n FROM lineitem GROUP BY 1) SELECT p.l_orderkey, f.flag, f.n FROM p LEFT JOIN f ON f.l_orderkey = p.l_orderkey"
 
 QUERIES = {
@@ -305,11 +250,11 @@ QUERIES = {
     "surface_topmost": (surface_topmost, SQL_TOPMOST),
     "north_shade": (north_shade, SQL_SHADE),
     "map_bounds": (map_bounds, SQL_BOUNDS),
-    "find_entities": (find_entities, SQL_ENTITIES),
-    "find_block_entities": (find_block_entities, SQL_BLOCK_ENTITIES),
-    "poi_list": (poi_list, SQL_POI),
-    "region_info": (region_info, SQL_REGION_INFO),
-    "players": (players, SQL_PLAYERS),
-    "inspect_point": (inspect_point, SQL_INSPECT_POINT),
-    "inspect_batch": (inspect_batch, SQL_INSPECT_BATCH),
+    "find_entities": (shipped.find_entities, SQL_ENTITIES),
+    "find_block_entities": (shipped.find_block_entities, SQL_BLOCK_ENTITIES),
+    "poi_list": (shipped.poi_list, SQL_POI),
+    "region_info": (shipped.region_info, SQL_REGION_INFO),
+    "players": (shipped.players, SQL_PLAYERS),
+    "inspect_point": (shipped.inspect_point, SQL_INSPECT_POINT),
+    "inspect_batch": (shipped.inspect_batch, SQL_INSPECT_BATCH),
 }

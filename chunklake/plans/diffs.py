@@ -300,7 +300,21 @@ def cache_hit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_CACHE = "WITH d AS (SELECT doc_id, source, sha256(text) AS id FROM documents), c AS (SELECT DISTINCT id FROM d WHERE doc_id % 2 = 0) SELECT source, count(c.id) AS hits, count(*) - count(c.id) AS misses FROM d LEFT JOIN c ON c.id = d.id WHERE doc_id % 2 = 1 GROUP BY source"
 
+def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of two columns as one text, with signs of its own and nulls among the values."""
+    sign = F.element_at(F.array(*map(F.lit, ["|", "~", "\\", "a|b", ""])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    a = F.when(F.col("o_orderkey") % 7 != 0, F.concat(sign, F.lit("x"), sign))
+    b = F.when(F.col("o_orderkey") % 3 != 0, F.concat("o_orderstatus", sign))
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select("o_orderkey", canonical_row([a, b]).alias("pos"))
+
+
+SQL_ROW_KEYS = r"""WITH s AS (SELECT o_orderkey, o_orderstatus, ['|', '~', '\', 'a|b', ''][(o_orderkey % 5 + 1)::int] AS sign FROM orders),
+v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN sign || 'x' || sign END AS a, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus || sign END AS b FROM s)
+SELECT o_orderkey, coalesce(regexp_replace(a, '([\\|~])', '\\\1', 'g'), '~') || '|' || coalesce(regexp_replace(b, '([\\|~])', '\\\1', 'g'), '~') AS pos FROM v"""
+
+
 QUERIES = {
+    "row_keys": (row_keys, SQL_ROW_KEYS),
     "keyed_diff_orders": (keyed_diff_orders, SQL_KEYED_DIFF),
     "diff_counts": (diff_counts, SQL_DIFF_COUNTS),
     "node_diff_orders": (node_diff_orders, SQL_NODE_DIFF),

@@ -234,7 +234,12 @@ def chunks(raw: DataFrame) -> DataFrame:
 
 def players(spark: SparkSession, root: str) -> DataFrame:
     """The host from ``level.dat`` and all of ``playerdata``; files that can't be read are left out."""
-    found = files(spark, root, "*.dat").where((F.col("path") == "level.dat") | F.col("path").rlike("^playerdata/[^/]+\\.dat$"))
+    return players_in(files(spark, root, "*.dat"))
+
+
+def players_in(found: DataFrame) -> DataFrame:
+    """The players of a world's files (``path, content``)."""
+    found = found.where((F.col("path") == "level.dat") | F.col("path").rlike("^playerdata/[^/]+\\.dat$"))
 
     def work(row: dict) -> Iterator[dict]:
         try:
