@@ -167,7 +167,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     repo = Repo(spark, a.repo)
     tell = lambda x: print(json.dumps(x, default=str)) or 0
     outcome = lambda x: tell(x) or (0 if x["outcome"] != "conflicts" else 1)
-    here = lambda w: world_entries(spark, w, repo.root)
+    here = repo.world
     if a.command == "commit":
         cid = repo.commit(here(a.world), a.message, a.author, int(time.time()))
         return tell({"commit": cid}) or (0 if cid else 1)

@@ -12,7 +12,7 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from .sources.world import all_files, rows_mapped
 ENTRY = "kind string, path string, pos string, body binary"
 TREE = "tree string, kind string, path string, pos string, id string"
 OBJECT = "id string, body binary, raw_len bigint"
+CACHE = "key string, id string"
 COMMIT = "id string, tree string, parents array<string>, message string, author string, time bigint"
 KEY = ["kind", "path", "pos"]
 _REF = re.compile(r"^(?![/.])(?!.*\.\.)[^\\\0]{1,255}$")
@@ -46,13 +47,8 @@ def table_entries(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return df.select(F.lit("table").alias("kind"), F.lit(name).alias("path"), canonical_row([F.col(k) for k in keys]).alias("pos"), body.cast("binary").alias("body"))
 
 
-def world_entries(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
-    """A world's files as entries: chunks and trees by canonical bytes, all else as it is, empty folders too.
-
-    Oversized chunk bodies beside a region belong to it. A region without chunks, with a chunk that can't
-    be decoded or whose body is missing is a blob as a whole, and so are its bodies, a body that no
-    region asks for, and a tree file that can't be read. ``skip`` is a folder that is left out.
-    """
+def _world_rows(spark: SparkSession, root: str, skip: str | None) -> DataFrame:
+    """``kind, path, content, beside`` of a world's files; ``beside``: the oversized chunk bodies of a region."""
     found = all_files(spark, root, skip).withColumn("kind", F.when(F.col("content").isNull(), "dir").otherwise(coords.path_class(F.col("path"))))
     name = r"^(.*/|)c\.(-?\d+)\.(-?\d+)\.mcc$"
     cx, cz = (F.regexp_extract("path", name, k).try_cast("int") for k in (2, 3))
@@ -67,30 +63,70 @@ def world_entries(spark: SparkSession, root: str, skip: str | None = None) -> Da
         rows = regions.select("kind", "path", "content").join(beside, "path", "left").select("kind", "path", "content", "beside").unionByName(
             found.where("kind <> 'region' and owner is null").unionByName(alone.select(found.columns)).select("kind", "path", "content").withColumn("beside", F.lit(None))
         )
+    return rows
 
-    def work(row: dict) -> Iterator[dict]:
-        base = {"kind": row["kind"], "path": row["path"], "pos": ""}
-        beside = row["beside"] or []
-        blobs = [{"kind": "blob", "path": x["path"], "pos": "", "body": x["content"]} for x in beside]
+
+def _digest(kind: str, body: bytes) -> str:
+    return f"{kind}:{hashlib.sha256(body).hexdigest()}"
+
+
+def _chunks(row: dict) -> tuple[list[tuple[str, int, bytes]], set[tuple[int, int]]]:
+    """Position, compression and payload of a region's chunks, and which of these lie beside it."""
+    chunks = region.parse(row["path"], row["content"])
+    bodies = {(x["cx"], x["cz"]): x["content"] for x in row["beside"] or []}
+    payload = [bodies.get((c.x, c.z)) if c.external else c.payload for c in chunks]
+    if not chunks or not all(payload):
+        raise region.BadRegion("no chunks, or bodies that are missing")
+    return [(f"{c.x},{c.z}", c.compression, p) for c, p in zip(chunks, payload, strict=True)], {(c.x, c.z) for c in chunks if c.external}
+
+
+def _keys(row: dict) -> Iterator[dict]:
+    """``path, key`` of everything in a file that would be decoded or stored; nothing is decoded for it."""
+    keys = {_digest(k, row["content"] or b"") for k in (row["kind"], "blob")} | {_digest("blob", x["content"]) for x in row["beside"] or []}
+    if row["kind"] == "region":
         try:
-            if row["kind"] == "region":
-                chunks = region.parse(row["path"], row["content"])
-                bodies = {(x["cx"], x["cz"]): x["content"] for x in beside}
-                payload = {(c.x, c.z): bodies.get((c.x, c.z)) if c.external else c.payload for c in chunks}
-                if not chunks or not all(payload.values()):
-                    raise region.BadRegion("no chunks, or bodies that are missing")
-                parts = [base | {"pos": f"{c.x},{c.z}", "body": nbt.canonical(nbt.read(region.inflate(c.compression, payload[c.x, c.z]))[1])} for c in chunks]
-                taken = {(c.x, c.z) for c in chunks if c.external}
-                parts += [b for b, x in zip(blobs, beside, strict=True) if (x["cx"], x["cz"]) not in taken]
-            elif row["kind"] == "nbt":
-                parts = [base | {"body": nbt.canonical(nbt.read(region.unpack_file(row["content"]))[1])}]
-            else:
-                parts = [base | {"body": row["content"] or b""}]
+            keys |= {_digest(str(scheme), body) for _, scheme, body in _chunks(row)[0]}
         except ValueError:
-            parts = [base | {"kind": "blob", "body": row["content"]}, *blobs]
-        yield from parts
+            pass  # a blob as a whole
+    yield from ({"path": row["path"], "key": k} for k in keys)
+
+
+def _parts(row: dict) -> Iterator[dict]:
+    """The entries of a file (ENTRY and ``key, id``); those whose key is in ``known`` have its id and no body."""
+    known = {x["key"]: x["id"] for x in row.get("known") or []}
+    base = {"kind": row["kind"], "path": row["path"], "pos": ""}
+
+    def part(sort: str, body: bytes, decode: Callable[[bytes], bytes], **own: str) -> dict:
+        key = _digest(sort, body)
+        if key in known:
+            return base | own | {"key": key, "id": known[key], "body": None}
+        made = decode(body)
+        return base | own | {"key": key, "id": nbt.object_id(made), "body": made}
+
+    plain = lambda body: body
+    blobs = [part("blob", x["content"], plain, kind="blob", path=x["path"]) for x in row["beside"] or []]
+    try:
+        if row["kind"] == "region":
+            chunks, taken = _chunks(row)
+            parts = [part(str(scheme), body, lambda b, s=scheme: nbt.canonical(nbt.read(region.inflate(s, b))[1]), pos=pos) for pos, scheme, body in chunks]
+            parts += [b for b, x in zip(blobs, row["beside"] or [], strict=True) if (x["cx"], x["cz"]) not in taken]
+        elif row["kind"] == "nbt":
+            parts = [part("nbt", row["content"], lambda b: nbt.canonical(nbt.read(region.unpack_file(b))[1]))]
+        else:
+            parts = [part(row["kind"], row["content"] or b"", plain)]
+    except ValueError:
+        parts = [part("blob", row["content"], plain, kind="blob"), *blobs]
+    yield from parts
+
 
-    return rows_mapped(rows, ENTRY, work)
+def world_entries(spark: SparkSession, root: str, skip: str | None = None) -> DataFrame:
+    """A world's files as entries: chunks and trees by canonical bytes, all else as it is, empty folders too.
+
+    Oversized chunk bodies beside a region belong to it. A region without chunks, with a chunk that can't
+    be decoded or whose body is missing is a blob as a whole, and so are its bodies, a body that no
+    region asks for, and a tree file that can't be read. ``skip`` is a folder that is left out.
+    """
+    return rows_mapped(_world_rows(spark, root, skip), f"{ENTRY}, key string, id string", _parts).drop("key", "id")
 
 
 def confined(path: str) -> str:
@@ -144,6 +180,11 @@ def write_files(out_files: DataFrame, root: str) -> int:
     return rows_mapped(out_files, "path string", work).count()
 
 
+def _named(entries: DataFrame) -> DataFrame:
+    """Entries with the ids of their bodies, which they may have already."""
+    return entries if "id" in entries.columns else entries.withColumn("id", content_id(F.col("body")))
+
+
 # The repository -----------------------------------------------------------------------------------------
 
 
@@ -158,7 +199,7 @@ class Repo:
         root = root.rstrip("/")
         if storage.exists(spark, f"{root}/meta"):
             raise RepoError("there is a repository already")
-        for name, ddl in (("objects", OBJECT), ("trees", TREE), ("commits", COMMIT)):
+        for name, ddl in (("objects", OBJECT), ("trees", TREE), ("commits", COMMIT), ("cache", CACHE)):
             spark.createDataFrame([], ddl).write.parquet(f"{root}/{name}")
         meta = {"head": "main", "branches": {}, "tags": {}, "remotes": {}, "config": {}, "reflog": [], "stash": [], "bisect": None, "shallow": [], "promisor": None, "objects": "objects", "tag_objects": {}}
         storage.write_next(spark, f"{root}/meta", 0, meta)
@@ -167,9 +208,23 @@ class Repo:
     # Tables and marks
 
     def table(self, name: str) -> DataFrame:
-        ddl = {"objects": OBJECT, "trees": TREE, "commits": COMMIT}[name]
+        ddl = {"objects": OBJECT, "trees": TREE, "commits": COMMIT, "cache": CACHE}[name]
         return self.spark.read.schema(ddl).parquet(self._path(name))
 
+    def world(self, root: str) -> DataFrame:
+        """A world's entries (ENTRY and ``key, id``), of which only those that are new here have bodies.
+
+        Payloads are looked up by their hash in the cache that commits fill, so that only chunks and
+        trees that no earlier commit had are decoded; this repository's own folder is left out.
+        """
+        rows = _world_rows(self.spark, root, self.root)
+        cache = self.table("cache").join(self.table("objects").select("id"), "id", "left_semi").dropDuplicates(["key"])
+        if cache.isEmpty():
+            return rows_mapped(rows, f"{ENTRY}, key string, id string", _parts)
+        hits = rows_mapped(rows, "path string, key string", _keys).join(cache, "key")
+        known = materialise(hits.groupBy("path").agg(F.collect_set(F.struct("key", "id")).alias("known")))  # of one file's chunks, 1,024 at most
+        return rows_mapped(rows.join(known, "path", "left"), f"{ENTRY}, key string, id string", _parts)
+
     def _path(self, name: str) -> str:
         """The folder of a table; a collection of garbage names another one for the objects."""
         return f"{self.root}/{self.meta['objects'] if name == 'objects' else name}"
@@ -212,9 +267,13 @@ class Repo:
 
     def _put(self, entries: DataFrame) -> str:
         """Store bodies that are new and the tree, if new; the tree's id."""
-        named = materialise(entries.withColumn("id", content_id(F.col("body"))))
-        new = named.select("id", "body").dropDuplicates(["id"]).join(self.table("objects").select("id"), "id", "left_anti")
+        named = materialise(_named(entries))
+        bodies = named.where("body is not null").select("id", "body")
+        new = bodies.dropDuplicates(["id"]).join(self.table("objects").select("id"), "id", "left_anti")
         new.select("id", "body", F.octet_length("body").cast("bigint").alias("raw_len")).write.mode("append").parquet(self._path("objects"))
+        if "key" in named.columns:
+            keys = named.where("body is not null").select("key", "id").distinct()
+            keys.write.mode("append").parquet(f"{self.root}/cache")
         return self._put_tree(named)
 
     def _put_tree(self, named: DataFrame) -> str:
@@ -364,7 +423,7 @@ class Repo:
 
     def status(self, entries: DataFrame, rev: str = "HEAD") -> DataFrame:
         """``path, code`` of files that differ from a commit; nothing is written."""
-        here = entries.select(*KEY, content_id(F.col("body")).alias("id"))
+        here = _named(entries).select(*KEY, "id")
         old = self.tree_of(rev) if self.head() or rev != "HEAD" else here.limit(0)
         sides = old.withColumn("side", F.lit(0)).unionByName(here.withColumn("side", F.lit(1)))
         changed = sides.groupBy(*KEY).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"), F.min("side").alias("s"), F.max("side").alias("t"))
@@ -374,7 +433,7 @@ class Repo:
 
     def verify(self, rev: str, entries: DataFrame) -> bool:
         """Whether entries have exactly a commit's tree."""
-        return self.tree_id(entries.select(*KEY, content_id(F.col("body")).alias("id"))) == self.commit_of(self.resolve(rev))["tree"]
+        return self.tree_id(_named(entries).select(*KEY, "id")) == self.commit_of(self.resolve(rev))["tree"]
 
     def clean(self, entries: DataFrame, rev: str = "HEAD") -> DataFrame:
         """Paths that a commit does not know."""

@@ -361,3 +361,31 @@ def test_edits_shown_are_bounded(spark, tmp_path):
     lines = [r["line"] for r in W.diff_lines(a, b, W.entry_changes(a, b), edits).collect()]
     assert sum("@" in x for x in lines) == W.SHOWN_EDITS and lines[-1] == f"        … and {4096 - W.SHOWN_EDITS} more block changes"
     assert W.diff_lines(a, a, W.entry_changes(a, a), W.block_edits(raw[0], raw[0])).count() == 0
+
+
+def test_only_new_payloads_are_decoded(spark, tmp_path):
+    from tests.worlds import chest_chunk, write_region
+
+    world = odd_world(tmp_path / "w")
+    chunks = {(k % 8, k // 8): chest_chunk(k % 3) for k in range(24)}
+    write_region(world / "region/r.1.0.mca", {(x + 32, z): c for (x, z), c in chunks.items()})
+    repo = Repo.init(spark, str(tmp_path / "r"))
+    first = repo.world(str(world))
+    n = first.where("body is not null").count()
+    assert n == first.count() == world_entries(spark, str(world)).count()
+    repo.commit(first, "one", when=1)
+    assert repo.world(str(world)).where("body is not null").count() == 0 and repo.status(repo.world(str(world))).count() == 0
+    write_region(world / "region/r.1.0.mca", {(x + 32, z): c for (x, z), c in (chunks | {(1, 1): chest_chunk(7), (2, 2): chest_chunk(8)}).items()})
+    (world / "icon.png").write_bytes(b"other")
+    again = repo.world(str(world))
+    assert sorted((r["kind"], r["pos"]) for r in again.where("body is not null").collect()) == [("blob", ""), ("region", "33,1"), ("region", "34,2")]
+    assert {r["path"]: r["code"] for r in repo.status(again).collect()} == {"icon.png": "M", "region/r.1.0.mca": "M"}
+    repo.commit(again, "two", when=2)
+    whole = world_entries(spark, str(world))
+    assert repo.verify("HEAD", whole) and values_of(repo.checkout()) == values_of(whole)
+    repo.gc()
+    assert repo.world(str(world)).where("body is not null").count() == 0 and repo.fsck()["missing"] == 0
+
+
+def values_of(df):
+    return {(r["kind"], r["path"], r["pos"]): bytes(r["body"]) for r in df.collect()}
