@@ -8,32 +8,32 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a name must contain (``=`` equal, ``*`` end with) and its colour; the first rule that holds decides.
-RULES: list[tuple[str, tuple[int, int, int]]] = [
-    ("water", (63, 118, 228)),
-    ("lava", (224, 108, 29)),
-    ("=grass_block =grass =tall_grass =fern =large_fern moss", (98, 160, 75)),
-    ("leaves", (62, 124, 49)),
-    ("*log planks wood stem", (120, 90, 55)),
-    ("sandstone", (199, 182, 130)),
-    ("sand", (219, 205, 158)),
-    ("podzol mud dirt farmland path", (134, 96, 67)),
-    ("snow", (245, 247, 250)),
-    ("ice", (150, 190, 240)),
-    ("clay", (160, 166, 179)),
-    ("gravel", (130, 127, 124)),
-    ("deepslate", (70, 70, 75)),
-    ("blackstone", (42, 40, 46)),
-    ("basalt", (78, 78, 84)),
-    ("obsidian", (24, 20, 38)),
-    ("netherrack nether_wart", (97, 38, 38)),
-    ("bedrock", (40, 40, 40)),
-    ("stone andesite granite diorite =tuff", (122, 122, 122)),
-    ("gold", (232, 206, 99)),
-    ("diamond", (110, 221, 213)),
-    ("coal", (54, 54, 58)),
-    ("glass", (200, 225, 235)),
-    ("brick", (150, 90, 80)),
+#: How a name must hold which words, and its colour; the first rule that holds decides.
+RULES: list[tuple[tuple[tuple[str, str], ...], tuple[int, int, int]]] = [
+    ((("contains", "water"),), (63, 118, 228)),
+    ((("contains", "lava"),), (224, 108, 29)),
+    ((("equals", "grass_block"), ("equals", "grass"), ("equals", "tall_grass"), ("equals", "fern"), ("equals", "large_fern"), ("contains", "moss")), (98, 160, 75)),
+    ((("contains", "leaves"),), (62, 124, 49)),
+    ((("ends with", "log"), ("contains", "planks"), ("contains", "wood"), ("contains", "stem")), (120, 90, 55)),
+    ((("contains", "sandstone"),), (199, 182, 130)),
+    ((("contains", "sand"),), (219, 205, 158)),
+    ((("contains", "podzol"), ("contains", "mud"), ("contains", "dirt"), ("contains", "farmland"), ("contains", "path")), (134, 96, 67)),
+    ((("contains", "snow"),), (245, 247, 250)),
+    ((("contains", "ice"),), (150, 190, 240)),
+    ((("contains", "clay"),), (160, 166, 179)),
+    ((("contains", "gravel"),), (130, 127, 124)),
+    ((("contains", "deepslate"),), (70, 70, 75)),
+    ((("contains", "blackstone"),), (42, 40, 46)),
+    ((("contains", "basalt"),), (78, 78, 84)),
+    ((("contains", "obsidian"),), (24, 20, 38)),
+    ((("contains", "netherrack"), ("contains", "nether_wart")), (97, 38, 38)),
+    ((("contains", "bedrock"),), (40, 40, 40)),
+    ((("contains", "stone"), ("contains", "andesite"), ("contains", "granite"), ("contains", "diorite"), ("equals", "tuff")), (122, 122, 122)),
+    ((("contains", "gold"),), (232, 206, 99)),
+    ((("contains", "diamond"),), (110, 221, 213)),
+    ((("contains", "coal"),), (54, 54, 58)),
+    ((("contains", "glass"),), (200, 225, 235)),
+    ((("contains", "brick"),), (150, 90, 80)),
 ]
 AIR = ("air", "cave_air", "void_air")
 
@@ -58,10 +58,8 @@ def hash_color(name: Column) -> Column:
     return F.struct(*((F.lit(80) + F.shiftright(h, s).bitwiseAND(0x4F)).cast("int").alias(c) for c, s in (("r", 0), ("g", 6), ("b", 12))))
 
 
-def _holds(name: Column, word: str) -> Column:
-    if word[0] == "=":
-        return name == word[1:]
-    return name.endswith(word[1:]) if word[0] == "*" else name.contains(word)
+def _holds(name: Column, how: str, word: str) -> Column:
+    return {"equals": name == word, "ends with": name.endswith(word), "contains": name.contains(word)}[how]
 
 
 def block_color(name: Column) -> Column:
@@ -70,7 +68,7 @@ def block_color(name: Column) -> Column:
     out = hash_color(short)
     for words, rgb in reversed(RULES):
         color = F.struct(*(F.lit(v).alias(c) for c, v in zip("rgb", rgb, strict=True)))
-        out = F.when(reduce(or_, (_holds(short, w) for w in words.split())), color).otherwise(out)
+        out = F.when(reduce(or_, (_holds(short, *w) for w in words)), color).otherwise(out)
     return out
 
 

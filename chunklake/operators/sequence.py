@@ -13,12 +13,17 @@ def running(rows: DataFrame, key: str, size: Column, name: str, bucket: int = BU
     """``rows`` with the sum of ``size`` over all rows before, by ascending ``key`` (a unique integer).
 
     Rows are summed inside buckets of the key; what lies before a bucket comes from the buckets' sums,
-    a table ``bucket`` times smaller, so no task sees all rows.
+    by the same way where the buckets are many, as with sparse keys. So no task sees more than
+    ``bucket`` rows, and four rounds do for any keys of 64 bits.
     """
+    low, high = rows.agg(F.min(key), F.max(key)).first()
     rows = rows.withColumns({"__b": F.floor(F.col(key) / bucket), "__s": size.cast("bigint")})
     sums = rows.groupBy("__b").agg(F.sum("__s").alias("__t"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
+    if low is not None and (high - low) // bucket > bucket:
+        base = running(sums.withColumnRenamed("__b", "__k"), "__k", F.col("__t"), "__before", bucket).select(F.col("__k").alias("__b"), F.col("__before").alias("__base"))
+    else:
+        before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("__s").over(inside), F.lit(0))).join(base, "__b")
     return rows.withColumn(name, F.col("__base") + F.col("__in")).drop("__b", "__s", "__in", "__base")
@@ -32,19 +37,24 @@ def fixed_batches(rows: DataFrame, key: str, size: int, name: str = "batch") ->
 def greedy_batches(rows: DataFrame, group: str, key: str, size: str, limit: int) -> DataFrame:
     """``group, key, batch``: a batch is closed once its sizes reach ``limit``; then the sum starts again.
 
-    The reset makes this a fold over each group's (key, size) list; groups are lists to push, and a
-    list of ids is small beside its objects.
+    The reset makes this a fold over each group's rows in key order; groups are lists to push, and a
+    list of ids and sizes is small beside its objects.
     """
-    lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("bigint").alias("n")))).alias("l"))
-    zero = F.expr("named_struct('b', 0L, 'acc', 0L, 'out', cast(array() as array<bigint>))")
+    import pyarrow as pa
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["acc"] + x["n"]
-        full = total >= limit
-        return F.struct(F.when(full, acc["b"] + 1).otherwise(acc["b"]).alias("b"), F.when(full, 0).otherwise(total).cast("bigint").alias("acc"), F.concat(acc["out"], F.array(acc["b"])).alias("out"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (group, key)}
 
-    numbered = lists.select(group, F.explode(F.arrays_zip(F.col("l.k").alias("k"), F.aggregate("l", zero, step, lambda a: a["out"]).alias("b"))).alias("x"))
-    return numbered.select(group, F.col("x.k").alias(key), F.col("x.b").alias("batch"))
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(key, "ascending"), (size, "ascending")])
+        batch, total, out = 0, 0, []
+        for n in table.column(size).to_pylist():
+            out.append(batch)
+            total += n or 0
+            if total >= limit:
+                batch, total = batch + 1, 0
+        return pa.table({group: table.column(group), key: table.column(key), "batch": pa.array(out, pa.int64())})
+
+    return rows.select(group, key, size).groupBy(group).applyInArrow(fold, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, batch bigint")
 
 
 def topmost(cells: DataFrame, column: list[str], height: str, state: str, ties: list[str], keep: Column | None = None) -> DataFrame:

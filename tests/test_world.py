@@ -97,3 +97,29 @@ def test_render(spark, decoded):
     assert [(r["x"], r["z"], r["r"], r["g"], r["b"]) for r in rows] == [(0, 0, 122, 122, 122)]
     image, info = png.render(W.pixels(top))
     assert image[:8] == b"\x89PNG\r\n\x1a\n" and info == {"width": 16, "height": 16, "truncated": False}
+
+
+def test_ceiling(spark, tmp_path):
+    """Above the Nether's height no block is the top of its column."""
+    write_region(tmp_path / "DIM-1/region/r.0.0.mca", {(0, 0): compound(sections=N_list(section(0, [block("minecraft:netherrack")]), section(7, [block("minecraft:bedrock")])))})
+    raw = world.raw_chunks(spark, str(tmp_path), dimension="the_nether")
+    tops = {most: {(r["y"], r["state"]) for r in W.surface(world.chunks(raw), most_y=most).collect()} for most in (W.CEILING["the_nether"], 319, 100)}
+    assert tops == {120: {(120, "minecraft:bedrock")}, 319: {(127, "minecraft:bedrock")}, 100: {(15, "minecraft:netherrack")}}
+
+
+def test_inspect_reads_the_points_own_chunks(spark, tmp_path):
+    write_region(tmp_path / "region/r.0.0.mca", {(0, 0): chest_chunk(), (1, 0): chest_chunk()})
+    write_region(tmp_path / "region/r.1.0.mca", {(32, 0): chest_chunk()})
+    (tmp_path / "region/r.5.5.mca").write_bytes(b"never read")
+    raw = world.raw_chunks(spark, str(tmp_path), ("region",), regions=[(0, 0)])
+    assert {(r["cx"], r["cz"]) for r in raw.select("cx", "cz").collect()} == {(0, 0), (1, 0)}
+    points = spark.createDataFrame([(0, 0, 0), (16, 0, 0), (16, 0, 99)], "x int, y int, z int")
+    rows = {(r["x"], r["z"]): (r["block"], r["block_entity"]) for r in W.inspect_raw(raw, points).collect()}
+    assert rows == {(0, 0): ("minecraft:stone", "minecraft:chest"), (16, 0): ("minecraft:stone", None), (16, 99): (None, None)}
+
+
+def test_map_is_cut(spark, tmp_path):
+    write_region(tmp_path / "region/r.0.0.mca", {(k, 0): chest_chunk() for k in range(6)})
+    top = W.pixels(W.surface(world.chunks(world.raw_chunks(spark, str(tmp_path)))))
+    assert png.render(top)[1] == {"width": 96, "height": 16, "truncated": False}
+    assert png.render(top, 2)[1] == {"width": 32, "height": 16, "truncated": True}
