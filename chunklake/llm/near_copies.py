@@ -2,8 +2,9 @@
 
 Candidates come from MinHash: ``BANDS`` keys of ``BAND_ROWS`` minima each. A pair of similarity 0.8 is
 missed with a probability of (1 - 0.8**4)**24, about 3 in a million, and one of more with less. Texts that
-share a key are tied to the one with the least id, so that a large group makes no pairs, and each
-component of candidates is then compared exactly. Texts of equal words count as one throughout.
+share a key are tied to the one with the least id, so that a large group makes no pairs; the ties are
+compared exactly, and so are, in tiles, the texts of tied groups that this leaves apart. Texts of equal
+words count as one throughout.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 #: Texts, and shingles of a text, that are hashed at once.
 TEXTS_AT_ONCE, SHINGLES_AT_ONCE = 200, 4_096
+#: Texts of a block, two of which are compared in one task.
+TILE = 1_000
 
 _DRAWN = np.random.default_rng(42).integers(0, 2**64, (3, BANDS * BAND_ROWS), np.uint64)
 _XOR, _TIMES, _FOLD = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2].reshape(BANDS, BAND_ROWS) | np.uint64(1)
@@ -59,24 +62,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), same, keys], names=["doc_id", "same", "keys"])
 
 
-def links_of(ids: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that join all ids whose sets are similar."""
+def links_of(ids: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY, classes: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join all ids whose sets are similar; ids of one class are joined already."""
     forest, links, m = Forest(), [], len(ids)
+    first: dict[int, int] = {}
+    for i, c in enumerate(classes or range(m)):
+        forest.join(first.setdefault(c, i), i)
+    parts = len(first)
+    if parts < 2:
+        return links
     sizes = np.array([len(s) for s in sets], np.int64)
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), sizes)
     holders = owner[np.argsort(at, kind="stable")]
     bounds = np.concatenate(([0], np.cumsum(np.bincount(at))))
     begins = np.cumsum(sizes) - sizes
-    parts = 1  # components among the texts before this one
     for i in range(1, m):
-        parts += 1
-        shared = len(np.intersect1d(sets[0], sets[i], assume_unique=True))
-        if shared >= similarity * (sizes[0] + sizes[i] - shared):
-            parts -= forest.join(0, i)
-            links.append((ids[0], ids[i]))
-            if parts == 1:  # nothing is left to be joined
-                continue
         shared = np.zeros(m, np.int64)
         for g in at[begins[i] : begins[i] + sizes[i]].tolist():
             shared[holders[bounds[g] : bounds[g + 1]]] += 1
@@ -84,14 +85,47 @@ def links_of(ids: list[int], sets: list[np.ndarray], similarity: float = SIMILAR
             if forest.join(j, i):
                 parts -= 1
                 links.append((ids[j], ids[i]))
+        if parts == 1:  # nothing is left to be joined
+            break
     return links
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, TEXTS_AT_ONCE):
+            part = b.slice(k, TEXTS_AT_ONCE)
+            sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "sh"])
+
+
 def _verify(table: pa.Table) -> pa.Table:
-    links = links_of(table.column("doc_id").to_pylist(), list(shingle_sets(table.column("text").to_pylist())))
+    sets = [np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) for x in table.column("sh")]
+    links = links_of(table.column("rep").to_pylist(), sets, classes=table.column("cls").to_pylist())
     return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
 
+def _links(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """``u, v``: links that join all texts that are similar and that ``tied`` (u, v) connects somehow.
+
+    The ties themselves are compared first, each by itself, which joins most groups to one class. Only
+    where classes are left apart all texts of the tied group are compared, in tiles of two blocks of
+    TILE texts, so that no task holds a large group.
+    """
+    groups = connected_components(tied)
+    sets = materialise(rows.join(groups.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "text").mapInArrow(tidy(_sets), "rep bigint, sh array<bigint>").dropDuplicates(["rep"]))
+    side = lambda n: sets.select(F.col("rep").alias(n), F.col("sh").alias(f"sh_{n}"))
+    shared = F.size(F.array_intersect("sh_u", "sh_v"))
+    alike = shared >= SIMILARITY * (F.size("sh_u") + F.size("sh_v") - shared)
+    near = materialise(tied.join(side("u"), "u").join(side("v").hint("merge"), "v").where(alike).select("u", "v"))
+    classes = connected_components(near).select(F.col("node").alias("rep"), F.col("root").alias("cls"))
+    members = groups.select(F.col("node").alias("rep"), F.col("root").alias("tie")).join(classes, "rep", "left").withColumn("cls", F.coalesce("cls", "rep"))
+    apart = members.groupBy("tie").agg(F.count("*").alias("m"), F.count_distinct("cls").alias("k")).where("k > 1").select("tie", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    dealt = members.join(apart.hint("merge"), "tie").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
+    tiles = dealt.select("tie", "a", "b", "rep", "cls").join(sets, "rep").groupBy("tie", "a", "b")
+    return near.unionByName(tiles.applyInArrow(_verify, "u bigint, v bigint"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group of near copies; columns as in ``docs``.
 
@@ -104,9 +138,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     tied = keyed.join(least.hint("merge"), "key").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    groups = connected_components(tied)
-    texts = rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").select("root", "doc_id", "text")
-    roots = connected_components(texts.groupBy("root").applyInArrow(_verify, "u bigint, v bigint"))
+    roots = connected_components(_links(rows, materialise(tied)))
     whole = reps.select("same", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
     id_, rn = fresh(docs, "gone"), fresh(docs, "rn")
     gone = sketches.select("doc_id", "same").join(whole.hint("merge"), "same").where("doc_id <> root").select(F.col("doc_id").alias(id_)).distinct()

@@ -51,3 +51,17 @@ def test_chains_and_edges(docs_of):
     assert [x["doc_id"] for x in N.keep_first(docs_of(rows)).collect()] == survivors(rows) == [0]
     assert N.keep_first(docs_of([])).count() == 0
     assert sorted(map(str, (x["doc_id"] for x in N.keep_first(docs_of([(None, "a"), (None, "a"), (1, "b"), (1, "a")])).collect()))) == ["1", "None", "None"]
+
+
+def test_groups_are_compared_in_tiles(docs_of, monkeypatch):
+    """Chains and families whose members differ from the least one, in blocks of three texts."""
+    monkeypatch.setattr(N, "TILE", 3)
+    r = random.Random(9)
+    t = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(t[3 * k : 3 * k + 60])) for k in range(30)]
+    for family in range(6):
+        body = " ".join(f"v{r.randint(0, 900)}" for _ in range(120))
+        rows += [(100 + 20 * family + k, edited(r, body, k)) for k in range(16)]
+    shuffled = rows[:]
+    r.shuffle(shuffled)
+    assert sorted(x["doc_id"] for x in N.keep_first(docs_of(shuffled)).collect()) == survivors(rows)
