@@ -30,6 +30,8 @@ BLOCK_CHARS, PARTITION_GRAMS = 12_000_000, 2_000_000
 PACK_BYTES = 50_000_000
 #: Code points of a word with its space, on average, from which the number of partitions is guessed.
 WORD_CHARS = 6
+#: Partitions for each block, over which blocks are dealt by hash.
+SPREAD = 3
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,7 +235,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partitions = max(1, -(-(total // WORD_CHARS) // PARTITION_GRAMS))
     salted = F.xxhash64(F.col(id_col), F.xxhash64(text_col), F.spark_partition_id())  # repeated rows part as well
     rows = docs.select(F.pmod(salted, F.lit(blocks)).alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(_pack_texts, "block bigint, docs binary").repartition(blocks, "block")
+    rows = rows.mapInArrow(_pack_texts, "block bigint, docs binary").repartition(SPREAD * blocks, "block")  # so that few blocks meet in one task
     asked = rows.groupBy("block").applyInArrow(_ask(order, partitions), "part int, block bigint, n int, grams binary, counts binary")
     answers = asked.groupBy("part", "n").applyInArrow(_answer, "part int, block bigint, n int, totals binary")
     kind = docs.schema[id_col].dataType
