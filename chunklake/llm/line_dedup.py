@@ -10,21 +10,16 @@ or between other neighbours, are found as well.
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_texts, fresh
+from .common import fresh
 
 WINDOW = 3
 #: Where a line is cut into units, and words from which a unit is a window of its own.
 SENTENCE_END, LONG_UNIT_WORDS = r"(?<=[.!?][ ])|(?<=[。！？])", 50
 #: A unit's position is that of its line times this, and its ordinal in the line.
 LINE_STEP = 1 << 32
-#: Texts that are cut apart in Python at once.
-ROWS_AT_ONCE = 200
 
 
 def _lines(text: Column) -> Column:
@@ -96,27 +91,12 @@ def passage_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", F.explode(F.concat(three, two, long)).alias("w")).select("id", "w.*")
 
 
-def _without(text: str | None, gone: list[int] | None) -> str | None:
-    if text is None or not gone:
-        return text
-    cut: dict[int, set[int]] = {}
-    for at in gone:
-        cut.setdefault(at // LINE_STEP, set()).add(at % LINE_STEP)
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        if i in cut:
-            line = "".join(u for j, u in enumerate(re.split(SENTENCE_END, line)) if j not in cut[i])
-            if not line.strip(" "):
-                continue
-        out.append(line)
-    return "\n".join(out)
-
-
-def _all_without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    out = []
-    for at in range(0, len(texts), ROWS_AT_ONCE):
-        out += map(_without, texts.slice(at, ROWS_AT_ONCE).to_pylist(), gone.slice(at, ROWS_AT_ONCE).to_pylist())
-    return pa.array(out, pa.string())
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the units at ``gone``; a line goes if nothing but spaces is left of it."""
+    kept = lambda x, i: F.array_join(F.filter(F.split(x, SENTENCE_END), lambda u, j: ~F.array_contains(gone, i.cast("bigint") * LINE_STEP + j)), "")
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("line"), kept(x, i).alias("kept")))
+    left = F.filter(lines, lambda s: (s["kept"] == s["line"]) | (F.trim(s["kept"]) != ""))
+    return F.array_join(F.transform(left, lambda s: s["kept"]), "\n")
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
@@ -126,6 +106,6 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1").drop("n")
     later = w.join(repeated, ["h1", "h2"]).where(F.struct("id", "at") != F.col("first"))
     gone = later.groupBy(F.col("id").alias(id_)).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias(gone_))
-    both = for_texts(docs).join(gone, F.col(id_col) == F.col(id_), "left")
-    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(F.arrow_udf(_all_without, "string")(text_col, gone_))
+    both = docs.join(gone, F.col(id_col) == F.col(id_), "left")
+    text = F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(gone_)))
     return both.withColumns({text_col: text, count_col: F.coalesce(F.size(gone_), F.lit(0))}).drop(id_, gone_)

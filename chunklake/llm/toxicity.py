@@ -197,5 +197,12 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", severity
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", bar: float = TOXIC_FROM) -> DataFrame:
     """The rows whose severity is below the bar, with their columns as they are."""
-    severity, p = fresh(docs, "severity"), fresh(docs, "p")
-    return score(docs, model, text_col, severity, p).where(F.col(severity) < bar).select(docs.columns)
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, FEATURE_ROWS):
+                part = b.slice(k, FEATURE_ROWS)
+                yield part.filter(pa.array([sum(model.at_least(t)) < bar for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return for_texts(docs).mapInArrow(tidy(kept), docs.schema)
