@@ -1,14 +1,17 @@
-"""Near copies by exact similarity: the Jaccard of two texts' sets of five-word shingles is 0.8 or more.
+"""SimHash near-dedup whose links are checked: the Jaccard of two texts' sets of five-word shingles is 0.8 or more.
 
-Candidates come from MinHash: ``BANDS`` keys of ``BAND_ROWS`` minima each. A pair of similarity 0.8 is
-missed with a probability of (1 - 0.8**4)**24, about 3 in a million, and one of more with less. Texts that
-share a key are tied to the one with the least id, so that a large group makes no pairs; the ties are
+Fingerprints of 256 bits, for 64 can't tell such pairs from chance at a radius that holds them, go
+through the tiles of ``simhash_dedup``: a cell is a class of set sizes, and only cells whose sizes allow
+the similarity are paired; inner tiles are skipped by sizes and by population counts, and the rest is
+compared with exclusive-or and bit counts. Two fingerprints are tied if their first 64 bits differ by
+``FIRST_RADIUS`` at most and all by ``RADIUS``. Ties that join all tied texts, never all pairs, are
 compared exactly, and so are, in tiles, the texts of tied groups that this leaves apart. Texts of equal
 words count as one throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +23,18 @@ from pyspark.sql import functions as F
 from .common import for_texts, fresh, materialise, tidy
 from .graph import connected_components
 from .lm_score import gram_hashes, tokens
-from .simhash_dedup import Forest
+from .simhash_dedup import INNER_TILE, Forest, compare_tiles, tile_pairs
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 24, 4
+#: Longs of a fingerprint; bits by which tied ones may differ in the first of them and in all.
+LONGS, FIRST_RADIUS, RADIUS = 4, 24, 72
 #: Texts, and shingles of a text, that are hashed at once.
 TEXTS_AT_ONCE, SHINGLES_AT_ONCE = 200, 4_096
-#: Texts of a block, two of which are compared in one task.
-TILE = 1_000
+#: Texts of a block, two of which are compared in one task; fingerprints of a tile.
+TILE, FP_TILE = 1_000, 8_192
 
-_DRAWN = np.random.default_rng(42).integers(0, 2**64, (3, BANDS * BAND_ROWS), np.uint64)
-_XOR, _TIMES, _FOLD = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2].reshape(BANDS, BAND_ROWS) | np.uint64(1)
+_DRAWN = np.random.default_rng(42).integers(0, 2**64, (3, LONGS), np.uint64)
+_XOR, _TIMES, _AGAIN = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2] | np.uint64(1)
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -44,22 +48,53 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield np.unique(grams[k - 1][begin + k - 1 : end]) if n else np.zeros(0, np.uint64)
 
 
-def _keys(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``LONGS`` longs; a bit is 1 if more than half of the shingles have it."""
+    ones = np.zeros(64 * LONGS, np.int64)
     for at in range(0, len(shingles), SHINGLES_AT_ONCE):
-        h = shingles[at : at + SHINGLES_AT_ONCE, None] ^ _XOR
-        h *= _TIMES
-        np.minimum(least, h.min(axis=0), out=least)
-    key = (least.reshape(BANDS, BAND_ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    return (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (shingles[at : at + SHINGLES_AT_ONCE, None] ^ _XOR) * _TIMES
+        h = (h ^ (h >> np.uint64(32))) * _AGAIN
+        h ^= h >> np.uint64(29)
+        bits = np.unpackbits(h.view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # as many as a byte can count
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).view(np.uint64)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(1).to_pylist()
         same = pa.array([xxhash.xxh128_digest(b" ".join(tokens(t))) for t in texts], pa.binary())
-        keys = pa.array([_keys(s).view(np.int64) if len(s) else None for s in shingle_sets(texts)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), same, keys], names=["doc_id", "same", "keys"])
+        sizes, fps = [], []
+        for s in shingle_sets(texts):
+            sizes.append(len(s))
+            fps.append(fingerprint(s).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), same, pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "fp"])
+
+
+def _inner(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int, int, int]]:
+    """Inner tiles by size: positions, rows, least and largest size, least and largest population count."""
+    order = np.argsort(rows[:, 1], kind="stable")
+    count = np.bitwise_count(rows[:, 2:]).sum(axis=1, dtype=np.int64)
+    cuts = (order[k : k + INNER_TILE] for k in range(0, len(rows), INNER_TILE))
+    return [(i, rows[i], int(rows[i[0], 1]), int(rows[i[-1], 1]), int(count[i].min()), int(count[i].max())) for i in cuts]
+
+
+def tied_pairs(a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and ``b`` (rows of id, size, fingerprint) that are tied, by inner tiles; ``b`` None: within ``a``."""
+    left = _inner(a)
+    right = left if b is None else _inner(b)
+    for k, (i, x, low, high, few, many) in enumerate(left):
+        for j, y, low2, high2, few2, many2 in right[k:] if b is None else right:
+            if low2 * SIMILARITY > high or low * SIMILARITY > high2 or few2 - many > RADIUS or few - many2 > RADIUS:
+                continue
+            near = np.bitwise_count(x[:, 2, None] ^ y[None, :, 2]) <= FIRST_RADIUS
+            if b is None and j is i:
+                near = np.triu(near, 1)
+            u, v = np.divmod(np.flatnonzero(near), len(y))
+            close = np.bitwise_count(x[u, 3:] ^ y[v, 3:]).sum(axis=1, dtype=np.int64) + np.bitwise_count(x[u, 2] ^ y[v, 2]) <= RADIUS
+            if close.any():
+                yield i[u[close]], j[v[close]]
 
 
 def links_of(ids: list[int], sets: list[np.ndarray], similarity: float = SIMILARITY, classes: list[int] | None = None) -> list[tuple[int, int]]:
@@ -133,11 +168,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the least text. Rows with a null id stay.
     """
     rows = for_texts(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(tidy(_sketches), "doc_id bigint, same binary, keys array<bigint>"))
-    reps = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    keyed = reps.select("rep", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    tied = keyed.join(least.hint("merge"), "key").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
+    sketches = materialise(rows.mapInArrow(tidy(_sketches), "doc_id bigint, same binary, size bigint, fp array<bigint>"))
+    reps = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"))
+    cell = F.floor(F.log("size") / math.log(1 / SIMILARITY)).cast("int")  # sizes of similar sets are one class apart at most
+    cells = reps.where("size > 0").select(cell.alias("hi"), F.lit(0).alias("lo"), F.concat(F.array("rep", "size"), "fp").alias("fp"))
+    work = tidy(compare_tiles(tied_pairs, LONGS + 2))
+    tied = tile_pairs(cells, [(0, 0), (1, 0)], FP_TILE).mapInArrow(work, "u bigint, v bigint")
     roots = connected_components(_links(rows, materialise(tied)))
     whole = reps.select("same", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("root"))
     id_, rn = fresh(docs, "gone"), fresh(docs, "rn")

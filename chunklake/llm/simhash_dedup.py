@@ -9,7 +9,7 @@ and bit counts. A pair of tiles reports links that connect all that it finds lin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,36 +104,56 @@ class Forest:
         return x != y
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        us, vs = [], []
-        for row in batch.column("tiles"):
-            tiles = [np.ascontiguousarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) for x in row.values if x.is_valid] if row.is_valid else []
-            forest = Forest()
-            a, b = tiles[0], tiles[1] if len(tiles) > 1 else None
-            other = a if b is None else b
-            for i, j in linked_pairs(a, b):
-                for x, y in zip(a[i].tolist(), other[j].tolist(), strict=True):
-                    if forest.join(x, y):
-                        us.append(x)
-                        vs.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.uint64).view(np.int64)), pa.array(np.array(vs, np.uint64).view(np.int64))], names=["u", "v"])
+def joining(found: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of links between positions below ``size``, those that join two trees, so that a large group is no pair loop."""
+    forest, root = Forest(), np.arange(size)
+    for i, j in found:
+        while (apart := root[i] != root[j]).any():
+            i, j = i[apart], j[apart]
+            x, y = root[i], root[j]
+            _, first = np.unique(x, return_index=True)
+            kept = [k for k in first.tolist() if forest.join(int(x[k]), int(y[k]))]
+            yield i[kept], j[kept]
+            now = np.arange(size)
+            for r in {*x[first].tolist(), *y[first].tolist()}:
+                now[r] = forest.find(r)
+            root = now[root]
 
 
-def tile_links(distinct: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
-    """``distinct``: one column ``fp`` without repetition. Links ``u, v`` that join all linked ones.
+def compare(row: pa.ListScalar, links: Callable[[np.ndarray, np.ndarray | None], Iterator], width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """First columns of the fingerprints (rows of ``width`` longs) of the links that join all linked ones of a pair of tiles."""
+    tiles = [np.ascontiguousarray((x.values if width == 1 else x.values.flatten()).to_numpy(zero_copy_only=False)).view(np.uint64) for x in row.values if x.is_valid]
+    tiles = [t if width == 1 else t.reshape(-1, width) for t in tiles]
+    a, b = tiles[0], tiles[1] if len(tiles) > 1 else None
+    both, shift = (a, 0) if b is None else (np.concatenate((a, b)), len(a))
+    name = both if width == 1 else both[:, 0]
+    kept = list(joining(((i, j + shift) for i, j in links(a, b)), len(both)))
+    u, v = (np.concatenate([x[k] for x in kept]) if kept else np.zeros(0, np.int64) for k in (0, 1))
+    return name[u].view(np.int64), name[v].view(np.int64)
+
+
+def compare_tiles(links: Callable[[np.ndarray, np.ndarray | None], Iterator], width: int = 1) -> Callable[[Iterator], Iterator]:
+    """Work on the rows of ``tile_pairs``: links ``u, v``; ``links`` finds the positions of a pair of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column("tiles"):
+                u, v = compare(row, links, width)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    A cell is a pair of population counts of the halves, so there are at most 33 x 33; a cell of
-    more than ``tile`` fingerprints is dealt into several tiles. Each tile goes to every tile of the
-    cells within the radius, half of the directions being enough, and once to itself.
+    return run
+
+
+def tile_pairs(rows: DataFrame, steps: list[tuple[int, int]], tile: int) -> DataFrame:
+    """``rows``: a cell ``hi, lo`` (few) and ``fp``. A row ``tiles`` for each pair of tiles of cells one of ``steps`` apart.
+
+    A cell of more than ``tile`` fingerprints is dealt into several tiles. Each tile goes to every tile
+    of the cells at the steps, half of the directions being enough, and once to itself.
     """
-    half = lambda shift: F.bit_count(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-    rows = distinct.select("fp", half(32).cast("int").alias("hi"), half(0).cast("int").alias("lo"))
     cells = rows.groupBy("hi", "lo").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    cells = F.broadcast(materialise(cells.coalesce(1)))  # at most 1,089 rows
+    cells = F.broadcast(materialise(cells.coalesce(1)))  # at most 1,089 rows for halves, 65 for sizes
     rows = rows.join(cells, ["hi", "lo"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     tiles = rows.groupBy("hi", "lo", "parts", "part").agg(F.collect_list("fp").alias("fps"))
-    steps = [(d, e) for d in range(-radius, radius + 1) for e in range(-radius, radius + 1) if abs(d) + abs(e) <= radius and (d, e) >= (0, 0)]
     step = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(e).alias("e")) for d, e in steps)))
     own = ["hi", "lo", "part"]
     # Towards the cells at each step, and as the partner of the cells for which this one is at the step.
@@ -148,7 +168,20 @@ def tile_links(distinct: DataFrame, tile: int = TILE, radius: int = RADIUS) -> D
     second = second.where(~same | (F.col("part2") < F.col("part"))).select(F.col("hi2").alias("hi"), F.col("lo2").alias("lo"), F.col("part2").alias("part"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("part").alias("part2"), F.lit(1).alias("side"), "fps")
     pairs = first.unionByName(second).groupBy(*own, "hi2", "lo2", "part2").agg(F.array_sort(F.collect_list(F.struct("side", "fps")))["fps"].alias("tiles"))
     alone = same & (F.col("part") == F.col("part2"))  # else its partner has no rows
-    return pairs.where(alone | (F.size("tiles") == 2)).select("tiles").mapInArrow(tidy(_compare), "u bigint, v bigint")
+    return pairs.where(alone | (F.size("tiles") == 2)).select("tiles")
+
+
+def tile_links(distinct: DataFrame, tile: int = TILE, radius: int = RADIUS) -> DataFrame:
+    """``distinct``: one column ``fp`` without repetition. Links ``u, v`` that join all linked ones.
+
+    A cell is a pair of population counts of the halves, so there are at most 33 x 33, and only cells
+    within the radius are paired.
+    """
+    half = lambda shift: F.bit_count(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+    rows = distinct.select("fp", half(32).cast("int").alias("hi"), half(0).cast("int").alias("lo"))
+    steps = [(d, e) for d in range(-radius, radius + 1) for e in range(-radius, radius + 1) if abs(d) + abs(e) <= radius and (d, e) >= (0, 0)]
+    links = lambda a, b: linked_pairs(a, b, radius)
+    return tile_pairs(rows, steps, tile).mapInArrow(tidy(compare_tiles(links)), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
