@@ -26,7 +26,7 @@ def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similarity 0.8 over five-word shingles."""
+    """The document with the smallest id of each group: tiled SimHash over five-word shingles, then exact similarity of 0.8."""
     return near_copies.keep_first(docs).select(docs.columns)
 
 
